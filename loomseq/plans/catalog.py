@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomseq.plans import genome, relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = genome.QUERIES | relational.QUERIES
+ORACLE_SQL: dict[str, str] = genome.ORACLE_SQL | relational.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return genome.search_primary_bulges(spark, sf_dir)
