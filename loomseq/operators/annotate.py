@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.operators.intervals import overlap_join
+from loomseq.operators.stored import stored
 from loomseq.schemas import MAX_ANNOTATIONS
 from loomseq.sources.bed import read_bed, terms
 
@@ -41,7 +42,7 @@ def annotate(report: DataFrame, bed: DataFrame, column: str, pam_length: int) ->
     names = terms(bed)
     if column in report.columns:
         raise ValueError(f"the report has a column {column} already")
-    placed = footprint(report, pam_length)
+    placed = footprint(stored(report, "unannotated"), pam_length)
     masks = overlap_masks(placed, bed, names)
     keys = ["chromosome", "_from", "_to"]
     return placed.join(masks, keys, "left").select(*report.columns, decode(F.col("mask"), names).alias(column))

@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.operators.stored import stored
+
 
 #: Positions in one task's share of a key.
 BIN = 1 << 20
@@ -103,7 +105,7 @@ def partition_report(report: DataFrame, distance: int = 3, criteria: list[str] |
     if distance <= 0:
         raise ValueError("the cluster distance has to be above 0")
     columns = report.columns
-    clustered = single_linkage(report, ["chromosome", "strand"], "start", distance)
+    clustered = stored(single_linkage(stored(report, "report"), ["chromosome", "strand"], "start", distance), "clustered")
     primary, alternative = split_primary(clustered, ["chromosome", "strand", "cluster_start"], ranking(criteria))
     return primary.select(*columns), alternative.select(*columns)
 
@@ -115,7 +117,7 @@ def sort_report(report: DataFrame) -> DataFrame:
 
 def partition_statistics(report: DataFrame, distance: int = 3) -> DataFrame:
     """One row: ``clusters, primary, alternative``."""
-    clustered = single_linkage(report, ["chromosome", "strand"], "start", distance)
+    clustered = single_linkage(stored(report, "report"), ["chromosome", "strand"], "start", distance)
     per = clustered.groupBy("chromosome", "strand", "cluster_start").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("clusters"), F.count(F.lit(1)).alias("primary"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("alternative"))
 

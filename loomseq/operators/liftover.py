@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomseq.functions.alphabet import bare_contig
 from loomseq.operators.intervals import point_join
+from loomseq.operators.stored import stored
 
 TOLERANCE = 10
 
@@ -36,9 +37,11 @@ def lift_report(report: DataFrame, blocks: DataFrame, tolerance: int = TOLERANCE
     The contig is what follows the last ``#`` of its name. ``start`` is from 1 and so is ``hg38_pos``; what maps is
     the target's leftmost base, and if a chain is reversed its rightmost one, which then is leftmost.
     """
+    report, blocks = stored(report, "unlifted"), stored(blocks, "blocks")
     bases = F.length(F.translate("target_aligned", "-", ""))
     ends = report.select("*", bare_contig(F.col("chromosome")).alias("_contig"), (F.col("start") - 1).alias("_left"), (F.col("start") - 2 + bases).alias("_right"))
     left = lift_points(ends, blocks, tolerance, "_contig", "_left").withColumnsRenamed({"ref_contig": "_lc", "ref_pos": "_lp", "flipped": "_lf", "map_status": "_ls"})
+    left = stored(left, "lifted")
     both = lift_points(left, blocks, tolerance, "_contig", "_right")
     anchored = F.coalesce(F.col("_lf"), F.lit(False)) & (F.col("map_status") != "unmapped") & (F.col("ref_contig") == F.col("_lc"))
     return both.select(

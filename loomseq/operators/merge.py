@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomseq.functions.alphabet import flip_strand
 from loomseq.operators.cluster import DEFAULT_CRITERIA, line, ranking, single_linkage
+from loomseq.operators.stored import stored
 from loomseq.schemas import MERGED, REPORT
 
 MAX_PLOIDY = 16
@@ -117,6 +118,7 @@ def union_presence(a: Column, b: Column) -> Column:
 
 def merge_assemblies(lifted: DataFrame, samples: DataFrame, distance: int = 3, criteria: list[str] | None = None, adjacent_only: bool = False) -> DataFrame:
     """The merged report: the report's columns, then ``samples`` and ``map_status``. First within samples, then over all."""
-    rows = presence_rows(lifted, samples)
-    merged = merge_global(merge_sample(rows, distance, criteria, adjacent_only), distance, criteria, adjacent_only)
+    rows = stored(presence_rows(lifted, samples), "presence")
+    per_sample = stored(merge_sample(rows, distance, criteria, adjacent_only), "samples")
+    merged = merge_global(per_sample, distance, criteria, adjacent_only)
     return merged.select(*REPORT, *(["annotation"] if "annotation" in merged.columns else []), render_samples(F.col("presence")).alias(MERGED[0]), MERGED[1])
