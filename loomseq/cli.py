@@ -14,7 +14,7 @@ from loomseq.functions.cfd import read_weights
 from loomseq.operators.align import Thresholds
 from loomseq.operators.cluster import parse_criteria
 from loomseq.schemas import MAX_ANNOTATIONS
-from loomseq.search import report_prefix, search_assemblies, search_reference, write_partitions
+from loomseq.search import report_prefix, search_assemblies, search_reference_many, write_partitions
 from loomseq.sources.fasta import guides, read_guides
 
 log = logging.getLogger("loomseq")
@@ -88,12 +88,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         weights = read_weights(spark, args.cfd_weights) if args.cfd_weights else None
         every = read_guides(spark, args.sequence) if args.sequence else guides([args.guide])
-        for guide in every:
-            how = {"upstream": args.upstream, "distance": args.cluster_distance, "criteria": args.prioritization_criteria, "weights": weights}
-            if args.command == "search":
-                both = search_reference(spark, args.fasta, guide, args.pam, caps, annotations=args.annotation, annotation_names=args.annotation_colnames, **how)
-            else:
-                both = search_assemblies(spark, args.assemblies, args.chains, guide, args.pam, caps, tolerance=args.ambiguity_tolerance, **how)
+        how = {"upstream": args.upstream, "distance": args.cluster_distance, "criteria": args.prioritization_criteria, "weights": weights}
+        if args.command == "search":
+            found = search_reference_many(spark, args.fasta, every, args.pam, caps, annotations=args.annotation, annotation_names=args.annotation_colnames, **how)
+        else:
+            found = {g: search_assemblies(spark, args.assemblies, args.chains, g, args.pam, caps, tolerance=args.ambiguity_tolerance, **how) for g in every}
+        for guide, both in found.items():
             prefix = report_prefix(guide, args.pam, args.output_prefix if len(every) == 1 else None)
             for path in write_partitions(*both, args.output, prefix):
                 log.info("wrote %s", path)

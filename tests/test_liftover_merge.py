@@ -197,3 +197,22 @@ def test_binary(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     with pytest.raises(Exception, match="no rows of 5"):
         read_windows(spark, str(tmp_path / "w"), 5).collect()
+
+
+def test_files_to_files(spark, assemblies):
+    from loomseq.operators.report import write_report
+    from loomseq.search import lift_file, merge_files, partition_file, search
+
+    folder, _ = assemblies
+    lifted = []
+    for s, h in (("HG1", 1), ("HG1", 2), ("HG2", 1)):
+        found = search(read_fasta(spark, str(folder / "asm" / f"{s}.{h}.fa")), SITE, "NGG", Thresholds(1))
+        write_report(found, str(folder / f"{s}{h}.tsv"))
+        counts = lift_file(spark, str(folder / f"{s}{h}.tsv"), str(folder / "chains" / f"{s}_hap{h}_hg38.chain"), str(folder / f"{s}{h}.lifted.tsv"))
+        assert counts == {"mapped": 1, "ambiguous": 0, "unmapped": 0}
+        lifted.append((s, h, str(folder / f"{s}{h}.lifted.tsv")))
+    merge_files(spark, lifted, str(folder / "merged.tsv"))
+    assert partition_file(spark, str(folder / "merged.tsv"), str(folder / "p.tsv"), str(folder / "a.tsv")) == {"clusters": 1, "primary": 1, "alternative": 0}
+    assert read_report(spark, str(folder / "p.tsv")).first()["samples"] == "HG1:1|1,HG2:1"
+    with pytest.raises(ValueError, match="no columns"):
+        merge_files(spark, [("HG1", 1, str(folder / "HG11.tsv"))], str(folder / "x.tsv"))
