@@ -252,9 +252,9 @@ _C = f"c AS (SELECT doc_id::VARCHAR AS contig, translate(regexp_replace(text, '[
 
 def _scan_sql(size: int, plus: str, minus: str) -> str:
     return f"""{_C},
-at AS (SELECT contig, seq, unnest(range(1, length(seq) - {size - 2}))::BIGINT AS i FROM c),
-w AS (SELECT contig, '+' AS strand, i - 1 AS pos, substr(seq, i, {size}) AS "window" FROM at WHERE {plus}
-      UNION ALL SELECT contig, '-', i - 1, reverse(translate(substr(seq, i, {size}), 'ACGT', 'TGCA')) FROM at WHERE {minus})"""
+spots AS (SELECT contig, seq, unnest(range(1, length(seq) - {size - 2}))::BIGINT AS i FROM c),
+w AS (SELECT contig, '+' AS strand, i - 1 AS pos, substr(seq, i, {size}) AS "window" FROM spots WHERE {plus}
+      UNION ALL SELECT contig, '-', i - 1, reverse(translate(substr(seq, i, {size}), 'ACGT', 'TGCA')) FROM spots WHERE {minus})"""
 
 
 _W = _scan_sql(23, "substr(seq, i + 21, 2) = 'GG'", "substr(seq, i, 2) = 'CC'")
@@ -293,10 +293,10 @@ h AS (SELECT o_orderkey AS chain_id, floor(o_totalprice)::BIGINT AS score, 'c' |
 p AS (SELECT h.*, t0 + dt AS t_start, size, CASE WHEN q_strand = '+' THEN q0 + dq ELSE 100000 - (q0 + dq + size) END AS q_start FROM n JOIN h USING (chain_id)),
 b AS (SELECT chain_id, score, t_name, t_start, t_start + size AS t_end, q_name, q_start, q_start + size AS q_end, q_strand, file_order FROM p)"""
 
-_ISLANDS = """e AS (SELECT user_id, epoch_us(ts) AS at FROM events),
-f AS (SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY user_id ORDER BY at) <= 600000000 THEN 0 ELSE 1 END AS fresh FROM e),
-k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS no FROM f)
-SELECT user_id, min(at) AS cluster_start, max(at) AS cluster_end, count(*) AS n FROM k GROUP BY user_id, no"""
+_ISLANDS = """e AS (SELECT user_id, epoch_us(ts) AS tick FROM events),
+f AS (SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY user_id ORDER BY tick) <= 600000000 THEN 0 ELSE 1 END AS fresh FROM e),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY tick ROWS UNBOUNDED PRECEDING) AS no FROM f)
+SELECT user_id, min(tick) AS cluster_start, max(tick) AS cluster_end, count(*) AS n FROM k GROUP BY user_id, no"""
 
 _BED = "bed AS (SELECT o_custkey::VARCHAR AS chrom, o_orderkey % 3000 AS a, o_orderkey % 3000 + 20 + o_orderkey % 400 AS z, o_orderpriority AS term FROM orders), tb AS (SELECT o_orderpriority AS term, (1 << (row_number() OVER (ORDER BY min(o_orderkey)) - 1)::INT)::BIGINT AS mask FROM orders GROUP BY 1)"
 

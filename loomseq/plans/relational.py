@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,12 +10,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def _revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(_REVENUE), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(_revenue()), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"))
 
 
 def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +25,13 @@ def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").where("o_orderdate < timestamp'1995-03-15'").select("o_orderkey", "o_custkey")
     li = _t(spark, sf_dir, "lineitem").where("l_shipdate > timestamp'1995-03-15'")
     joined = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("l_orderkey").agg(F.round(F.sum(_REVENUE), 2).alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
+    return joined.groupBy("l_orderkey").agg(F.round(F.sum(_revenue()), 2).alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
 def local_supplier_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, c, s, n, r = (_t(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "supplier", "nation", "region"))
     joined = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, (li.l_suppkey == s.s_suppkey) & (c.c_nationkey == s.s_nationkey)).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return joined.groupBy("r_name", "n_name").agg(F.round(F.sum(_REVENUE), 2).alias("revenue"))
+    return joined.groupBy("r_name", "n_name").agg(F.round(F.sum(_revenue()), 2).alias("revenue"))
 
 
 def forecast_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:

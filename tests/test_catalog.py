@@ -63,11 +63,11 @@ def test_stream(spark, tmp_path):
     got = sorted((r["user"], r["n"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, 1), (1, 2), (2, 1)]  # the newest run is still open
 
-    batches = []
-    contigs = spark.readStream.schema("contig string, seq string").parquet(str(tmp_path / "contigs"))
-    spark.createDataFrame([("c", "CTAACAGTTGCTTTTATCACTGG")], "contig string, seq string").write.mode("append").parquet(str(tmp_path / "contigs"))
     from loomseq.search import search
 
+    batches = []
+    spark.createDataFrame([("c", "CTAACAGTTGCTTTTATCACTGG")], "contig string, seq string").write.parquet(str(tmp_path / "contigs"))
+    contigs = spark.readStream.schema("contig string, seq string").parquet(str(tmp_path / "contigs"))
     q = stream_search(contigs, lambda b: search(b, "CTAACAGTTGCTTTTATCAC", "NGG", Thresholds(0)), lambda rows, n: batches.append((n, rows.count())), str(tmp_path / "cp2"))
     try:
         q.processAllAvailable()
