@@ -295,7 +295,7 @@ b AS (SELECT chain_id, score, t_name, t_start, t_start + size AS t_end, q_name,
 
 _ISLANDS = """e AS (SELECT user_id, epoch_us(ts) AS tick FROM events),
 f AS (SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY user_id ORDER BY tick) <= 600000000 THEN 0 ELSE 1 END AS fresh FROM e),
-k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY tick ROWS UNBOUNDED PRECEDING) AS no FROM f)
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY tick) AS no FROM f)
 SELECT user_id, min(tick) AS cluster_start, max(tick) AS cluster_end, count(*) AS n FROM k GROUP BY user_id, no"""
 
 _BED = "bed AS (SELECT o_custkey::VARCHAR AS chrom, o_orderkey % 3000 AS a, o_orderkey % 3000 + 20 + o_orderkey % 400 AS z, o_orderpriority AS term FROM orders), tb AS (SELECT o_orderpriority AS term, (1 << (row_number() OVER (ORDER BY min(o_orderkey)) - 1)::INT)::BIGINT AS mask FROM orders GROUP BY 1)"
@@ -305,7 +305,7 @@ def _merge_level(source: str, name: str, keys: str, mask: str) -> str:
     """One level of clusters and their best rows, as CTEs that end in ``name``."""
     part = f"{keys}space, chromosome, strand, target_aligned"
     return f"""{name}_f AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY {part} ORDER BY start) <= 3 THEN 0 ELSE 1 END AS fresh FROM {source}),
-{name}_k AS (SELECT *, sum(fresh) OVER (PARTITION BY {part} ORDER BY start ROWS UNBOUNDED PRECEDING) AS no FROM {name}_f),
+{name}_k AS (SELECT *, sum(fresh) OVER (PARTITION BY {part} ORDER BY start) AS no FROM {name}_f),
 {name}_o AS (SELECT *, row_number() OVER (PARTITION BY {part}, no ORDER BY mismatches, start, map_status) AS rn, bit_or(annotation) OVER (PARTITION BY {part}, no) AS ann, {mask} FROM {name}_k)"""
 
 
@@ -341,7 +341,7 @@ p AS (SELECT r.*, max(n.no) AS no FROM r JOIN (SELECT chromosome, strand, start,
 o AS (SELECT *, row_number() OVER (PARTITION BY chromosome, strand, no ORDER BY edit_distance, target_aligned, start, "sgRNA_aligned") AS rn FROM p)
 SELECT chromosome, start, strand, "sgRNA_aligned", target_aligned, edit_distance, CASE WHEN rn = 1 THEN 'primary' ELSE 'alternative' END AS kind FROM o""",
     "cluster_windows": f"""WITH {_W}, f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY contig, strand ORDER BY pos) <= 3 THEN 0 ELSE 1 END AS fresh FROM w),
-k AS (SELECT *, sum(fresh) OVER (PARTITION BY contig, strand ORDER BY pos ROWS UNBOUNDED PRECEDING) AS no FROM f)
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY contig, strand ORDER BY pos) AS no FROM f)
 SELECT contig, strand, min(pos) AS cluster_start, (no - 1)::BIGINT AS cluster_no, count(*) AS n, max(pos) AS cluster_end FROM k GROUP BY contig, strand, no""",
     "event_clusters": f"WITH {_ISLANDS}",
     "event_sessions": f"WITH {_ISLANDS}",
