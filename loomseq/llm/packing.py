@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import documents
+from loomseq.llm.textnp import slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -20,8 +20,6 @@ BLOCK_WINDOWS = 128
 #: Longest piece of what a document has beyond its full sequences.
 PIECE = 512
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 2_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -86,20 +84,6 @@ def pieces_of(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     return [(i, capacity) for i in range(0, full, capacity)] + [(i, min(piece, n - i)) for i in range(full, n, piece)]
 
 
-def groups(batch, column: str, limit: int = GROUP_CHARS) -> Iterator[tuple[int, list[str | None]]]:
-    """A batch's texts in groups of bounded length, each with its first row's number."""
-    out, size, first = [], 0, 0
-    for i, value in enumerate(batch.column(column)):
-        text = value.as_py()
-        if out and size + len(text or "") > limit:
-            yield first, out
-            out, size, first = [], 0, i
-        out.append(text)
-        size += len(text or "")
-    if out:
-        yield first, out
-
-
 def _packer(path: str, capacity: int, end_id: int, piece: int, block_windows: int):
     def pack_part(batches):
         import pyarrow as pa
@@ -132,10 +116,10 @@ def _packer(path: str, capacity: int, end_id: int, piece: int, block_windows: in
         held = 0
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for first, texts in groups(batch, "text"):
-                ids, at = enc.encode(texts)
+            for first, data, offsets in slices(batch.column("text")):
+                ids, at = enc.encode_bytes(data, offsets)
                 rows: list[tuple] = []
-                for j in range(len(texts)):
+                for j in range(len(offsets) - 1):
                     own = np.append(ids[at[j] : at[j + 1]], end_id).astype("<u4")
                     n = len(own)
                     for start, length in pieces_of(n, capacity, piece):

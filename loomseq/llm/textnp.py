@@ -9,8 +9,8 @@ _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _C = np.uint64(0xD1B54A32D192ED03)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,16 +39,11 @@ def slices(column, limit: int = 4_000_000):
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, text) of each word of texts that lie in a row in ``data``: runs of bytes that aren't ASCII white space.
-
-    The hash is a 64-bit polynomial of the bytes read in eights, mixed with the length; words of up to eight bytes
-    never share one by chance of their bytes alone.
-    """
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of each word of texts that lie in a row in ``data``: runs of bytes that aren't ASCII white space."""
     if not len(data):
         e = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), e, e, e
-    text = _LOWER[data] if lower else data
+        return e, e, e
     solid = ~SPACE[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets[:-1]] = True  # a text's first byte never goes on with the text before
@@ -56,8 +51,17 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     starts = np.flatnonzero(solid & ~before)
     after = np.concatenate([solid[1:], [False]]) & ~begins[1:]
     ends = np.flatnonzero(solid & ~after) + 1
-    of = np.searchsorted(offsets, starts, "right") - 1
-    return hash_spans(text, starts, ends), starts, ends, of
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, text) of each word.
+
+    The hash is a 64-bit polynomial of the bytes read in eights, mixed with the length; words of up to eight bytes
+    never share one by chance of their bytes alone.
+    """
+    starts, ends, of = spans(data, offsets)
+    return hash_spans(LOWER[data] if lower else data, starts, ends), starts, ends, of
 
 
 def hash_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import Scratch, documents
+from loomseq.llm.textnp import slices
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -146,7 +147,6 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
         from pyspark import TaskContext
 
         from loomseq.llm.encoding import encoder
-        from loomseq.llm.packing import groups
 
         enc, task = encoder(path), TaskContext.get()
         wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 2**16
@@ -168,9 +168,9 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
 
         for batch in batches:
             own = batch.column("doc_id").to_pylist()
-            for first, texts in groups(batch, "text"):
-                got, at = enc.encode(texts)
-                for j in range(len(texts)):
+            for first, data, offsets in slices(batch.column("text")):
+                got, at = enc.encode_bytes(data, offsets)
+                for j in range(len(offsets) - 1):
                     if held >= shard_ids:
                         flush()
                     x = np.append(got[at[j] : at[j + 1]], end_id).astype("<u4" if wide else "<u2")
