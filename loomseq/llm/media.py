@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import Scratch, documents, keyed_join
+from loomseq.llm.textnp import frugal
 
 UNIT = 64
 PREFIX = "sha256:"
@@ -91,7 +92,7 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse_html(x.as_py()) for x in b.column(1)], kind)], names=["page_id", "items"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(parse, f"page_id {kind}, items {SEQUENCE}")
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(frugal(parse), f"page_id {kind}, items {SEQUENCE}")
 
 
 def resolve(sequences: DataFrame, payloads: DataFrame, prefix: str = PREFIX) -> DataFrame:
@@ -206,8 +207,8 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digest = F.concat(F.sha2(F.concat(F.encode(text, "UTF-8"), F.expr("cast(repeat(decode(X'00', 'UTF-8'), %d) as binary)" % UNIT).substr(F.lit(1), zeros)), 256), F.lit("-"), n.cast("string"))
     html = F.concat(F.lit(f'<figure><img src="{PREFIX}'), digest, F.lit('"><figcaption>'), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("</figcaption></figure>"))
     sequences = interleave(docs.select(F.col(id_col).alias("page_id"), html.alias("html")))
-    stored = scratch.table(docs.select(text.alias("text")).mapInArrow(_store, STORED), "stored")
-    features = stored.select("digest", "media").mapInArrow(_features, FEATURES)
+    stored = scratch.table(docs.select(text.alias("text")).mapInArrow(frugal(_store), STORED), "stored")
+    features = stored.select("digest", "media").mapInArrow(frugal(_features), FEATURES)
     fields = [x.strip().split()[0] for x in FEATURES.split(",")][1:]
     one = features.groupBy("digest").agg(*[F.first(c).alias(c) for c in fields])
     return resolve(sequences, one).select(F.col("page_id").alias("doc_id"), F.substring_index("digest", "-", -1).cast("long").alias("n_bytes"), *fields)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import Scratch, documents
-from loomseq.llm.textnp import mix, shingles, slices, words
+from loomseq.llm.textnp import frugal, mix, shingles, slices, words
 
 SHINGLE = 5
 PERCENT = 80
@@ -324,12 +324,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "near-dedup")
     least = least_matches(percent, miss)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.table(plain.mapInArrow(_sign(shingle), SIGNED), "signed")
+    signed = scratch.table(plain.mapInArrow(frugal(_sign(shingle)), SIGNED), "signed")
     some = signed.where("set_key is not null")
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "coarse", "fine")]
     classes = scratch.table(some.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), *first), "classes")
     named = classes.where("id is not null")
-    bands = scratch.table(named.select("id", "bands").mapInArrow(_band, "bucket long, id long").distinct(), "bands")
+    bands = scratch.table(named.select("id", "bands").mapInArrow(frugal(_band), "bucket long, id long").distinct(), "bands")
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1")
     members = scratch.table(bands.join(buckets, "bucket").select("bucket", "hub", "id"), "members")
     scratch.drop("bands")
@@ -338,17 +338,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """The pairs whose full sets are similar enough."""
         ids = scratch.table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
         texts = _pick(plain.withColumnRenamed("doc_id", "id"), ids)
-        sets = scratch.table(texts.mapInArrow(_texts_to_sets(shingle), "id long, val binary"), f"{name}-sets")
+        sets = scratch.table(texts.mapInArrow(frugal(_texts_to_sets(shingle)), "id long, val binary"), f"{name}-sets")
         one = pairs.join(sets.select(F.col("id").alias("a"), F.col("val").alias("va")), "a")
         both = one.join(sets.select(F.col("id").alias("b"), F.col("val").alias("vb")), "b")
-        out = scratch.table(both.mapInArrow(_exact(percent), "a long, b long"), f"{name}-links")
+        out = scratch.table(both.mapInArrow(frugal(_exact(percent)), "a long, b long"), f"{name}-links")
         scratch.drop(f"{name}-sets")
         return out
 
     star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     coarse = named.select("id", "n_shingles", "coarse")
     star = star.join(coarse.toDF("a", "na", "ca"), "a").join(coarse.toDF("b", "nb", "cb"), "b")
-    tried = scratch.table(star.mapInArrow(_prune(least, percent), "a long, b long"), "star-tried")
+    tried = scratch.table(star.mapInArrow(frugal(_prune(least, percent)), "a long, b long"), "star-tried")
     links = verify(tried, "star")
     comps = scratch.table(components(scratch, links, "comp-0"), "comps-0")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if rows is None:
             break
         dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        fresh = scratch.table(dealt.mapInArrow(_cells(least, percent, tries), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), f"fresh-{k}")
+        fresh = scratch.table(dealt.mapInArrow(frugal(_cells(least, percent, tries)), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), f"fresh-{k}")
         if fresh.isEmpty():
             continue
         links = links.unionByName(verify(fresh, f"more-{k}"))

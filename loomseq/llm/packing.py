@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import documents
-from loomseq.llm.textnp import slices
+from loomseq.llm.textnp import frugal, slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     Null and empty texts are just the end id. Null or repeated identifiers are packed like others. An empty table
     gives no pieces. Other columns are not read.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packer(path, capacity, end_id, piece, block_windows), SCHEMA)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(_packer(path, capacity, end_id, piece, block_windows)), SCHEMA)
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

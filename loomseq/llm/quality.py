@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import documents
-from loomseq.llm.textnp import SPACE, mix, slices, words
+from loomseq.llm.textnp import SPACE, frugal, mix, slices, words
 
 #: Most labelled rows that a model is fitted on; over it, those of the smallest hash of their identifier.
 MAX_TRAIN = 6000
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     names=["doc_id", "y", "i", "x"],
                 )
 
-    rows = sorted(got.mapInArrow(pull, "doc_id long, y int, i binary, x binary").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(got.mapInArrow(frugal(pull), "doc_id long, y int, i binary, x binary").collect(), key=lambda r: r["doc_id"])
     label = np.array([r["y"] for r in rows], np.float64)
     if len(np.unique(label)) < 2:
         p = float(np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, n), b.column("held_out").slice(first, n), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
-    return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(frugal(run), SCORED)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -197,7 +197,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
                 good += (first + np.flatnonzero(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold)).tolist()
             yield b.take(pa.array(good, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

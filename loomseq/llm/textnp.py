@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable
+
 import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -21,6 +24,24 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def frugal(run: Callable) -> Callable:
+    """A function over Arrow batches that gives its task's memory back at the end: a Python worker lives on between tasks, and what its allocators keep is missing elsewhere."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def slices(column, limit: int = 4_000_000):
     """(first row, bytes, offsets) of runs of rows of about ``limit`` bytes; null texts are empty. A longer text stands alone, whole."""
     import pyarrow as pa

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import Scratch, documents
-from loomseq.llm.textnp import slices
+from loomseq.llm.textnp import frugal, slices
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("_h"))
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
-    return ranged.mapInArrow(_writer(path, folder, end_id, shard_ids), MANIFEST)
+    return ranged.mapInArrow(frugal(_writer(path, folder, end_id, shard_ids)), MANIFEST)
 
 
 def store(docs: DataFrame, folder: str | None = None, **how) -> DataFrame:
@@ -236,7 +236,7 @@ def store(docs: DataFrame, folder: str | None = None, **how) -> DataFrame:
         rows.append((r["shard"], r["path"], before))
         before += r["ids"]
     listed = spark.createDataFrame(rows, "shard long, path string, before long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(_reader(folder), RESULT)
+    return listed.mapInArrow(frugal(_reader(folder)), RESULT)
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
