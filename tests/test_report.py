@@ -229,3 +229,32 @@ def test_upstream(spark):
     assert reverse_complement_text(seq[at : at + 24]) == rows["-"]["target_aligned"]
 
 
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_partition_by_hand(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"chr{rng.integers(0, 3)}", int(rng.integers(1, 120)), "+-"[rng.integers(0, 2)], "TG"[rng.integers(0, 2)], int(rng.integers(0, 3)), int(rng.integers(0, 2)), 0, "X", 3, None, None) for _ in range(150)]
+    scores = [[None, 0.5, float("nan"), 0.25][rng.integers(0, 4)] for _ in rows]
+    primary, alternative = partition_report(frame(spark, rows, scores), 2, ["cfd", "mm"])
+
+    def key(r):
+        bad = r["CFD_score"] is None or np.isnan(r["CFD_score"])
+        return bad, 0 if bad else -r["CFD_score"], r["mismatches"], r["strand"] == "+", r["target_aligned"], r["start"]
+
+    groups = {}
+    for r in frame(spark, rows, scores).collect():
+        groups.setdefault((r["chromosome"], r["strand"]), []).append(r)
+    best = []
+    for own in groups.values():
+        own.sort(key=lambda r: r["start"])
+        cluster = []
+        for r in own:
+            if cluster and r["start"] - cluster[-1]["start"] > 2:
+                best.append(min(map(key, cluster)))
+                cluster = []
+            cluster.append(r)
+        best.append(min(map(key, cluster)))
+    got = primary.collect()
+    assert sorted(map(key, got)) == sorted(best)
+    assert len(got) + alternative.count() == len(rows)
