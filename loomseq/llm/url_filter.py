@@ -15,6 +15,8 @@ WORDS = 4  # longs in a block
 PROBES = 6
 #: Blocks of 40 bytes each that may be broadcast; a larger filter is joined by a shuffle on the block's number.
 BROADCAST_BLOCKS = 200_000
+#: Pages found in the list, by host and path, that may be broadcast; more are joined by a shuffle.
+BROADCAST_HITS = 50_000
 _MOBILE = r"^(?:www|m|blog)\."
 
 
@@ -81,7 +83,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     canonical URL or the ``/`` of its host or a parent domain, else it gets ``default``. Each candidate's block of the
     Bloom filter is looked up, only candidates with all bits set go on to an exact join with the list, and that join
     removes false positives. The filter is broadcast if its number of blocks, which is known, allows; else it is
-    joined by block, with repeated candidates merged first so that no host is hot. Null or strange URLs have an empty
+    joined by block, with repeated candidates merged first so that no host is hot. What was found is counted, and goes
+    back to the pages by a broadcast or a shuffle accordingly. Null or strange URLs have an empty
     host and path and fit no rule or list. Null or repeated identifiers, an empty table or an empty list are fine.
     """
     spark = pages.sparkSession
@@ -104,7 +107,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
         possible = cand.join(seen, "cand")
     exact = possible.join(url_list, "cand").groupBy("host", "path").agg(F.max_by("cand", F.struct(F.length("cand"), "cand")).alias("listed_url"), F.lit(1).alias("one"))
     exact = scratch.table(exact, "exact")
-    by_site = rows.join(exact, ["host", "path"], "left")
+    by_site = rows.join(F.broadcast(exact) if exact.count() <= BROADCAST_HITS else exact.hint("merge"), ["host", "path"], "left")
     verdict = F.when(F.col("_r").isNotNull(), F.col("_r.verdict")).when(F.col("listed_url").isNotNull(), F.lit("block")).otherwise(F.lit(default))
     return by_site.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "listed_url")
 
