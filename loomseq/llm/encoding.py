@@ -28,7 +28,7 @@ _WORDS = re.compile(f"[^{_WS}]+")
 _SPACED = re.compile(f"[{_WS}]+(?![^{_WS}])| ?[^{_WS}]+|[{_WS}]")
 _TAIL = ".,"
 #: Entries after which a worker's cache starts anew, so that its memory stays bounded.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_500_000
 _JOINED = 1000
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
 #: The letter that a byte-level vocabulary writes for each byte: itself if it can be printed, else the next free one from U+0100 on.
@@ -172,10 +172,13 @@ class Encoder:
         return self.slots[at][inverse]
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, text) of the chunks of texts without odd white space, in order."""
+        """(start, end, text) of the chunks of texts without odd white space, in order. One full stop or comma after an ASCII letter is a chunk of its own, so words before it are learnt once."""
         starts, ends, of = spans(data, offsets)
+        dot = (data[ends - 1] == 46) | (data[ends - 1] == 44)
+        before = data[np.maximum(ends - 2, 0)] | 32
+        dot &= (ends - starts > 1) & (before >= 97) & (before <= 122)
         if self.kind == "words":
-            return starts, ends, of
+            return self._in_order((starts, ends - dot, of), (ends[dot] - 1, ends[dot], of[dot]))
         n = len(offsets) - 1
         before = np.concatenate([[0], ends[:-1]])[: len(starts)]
         gap = np.maximum(before, offsets[of])  # white space before a word begins here
@@ -186,9 +189,17 @@ class Encoder:
         last[of] = np.arange(len(of))
         tail = np.where(last >= 0, ends[last] if len(ends) else 0, offsets[:-1])  # and after the last one here
         rest = np.flatnonzero(offsets[1:] > tail)
-        a = np.concatenate([starts - space, gap[long], starts[other] - 1, tail[rest]])
-        b = np.concatenate([ends, starts[long] - 1, starts[other], offsets[1:][rest]])
-        t = np.concatenate([of, of[long], of[other], rest])
+        return self._in_order(
+            (starts - space, ends - dot, of),
+            (ends[dot] - 1, ends[dot], of[dot]),
+            (gap[long], starts[long] - 1, of[long]),
+            (starts[other] - 1, starts[other], of[other]),
+            (tail[rest], offsets[1:][rest], rest),
+        )
+
+    @staticmethod
+    def _in_order(*parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, t = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(a, kind="stable")
         return a[order], b[order], t[order]
 
