@@ -43,7 +43,7 @@ MAX_VARIANTS = 65_536
 
 def encode(seq: Column, strict: bool = False) -> Column:
     """Upper-case IUPAC text with T for U. Anything else becomes N, or, if ``strict``, fails. Null stays null."""
-    up = F.translate(F.upper(seq), "U", "T")
+    up = F.replace(F.upper(seq), F.lit("U"), F.lit("T"))
     bad = f"[^{_CODES}]"
     if strict:
         at = F.regexp_instr(up, F.lit(bad))

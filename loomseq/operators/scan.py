@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from loomseq.functions.alphabet import MASK, check, reverse_complement_text
 from loomseq.operators.align import MASKS, Thresholds, align_matrix, strings
 from loomseq.schemas import WINDOWS
-from loomseq.sources.fasta import CHUNK, chunks
+from loomseq.sources.fasta import CHUNK, chunks, spread
 
 _UPPER = np.frombuffer(bytes(ord(chr(i).upper().replace("U", "T")) if i < 128 and chr(i).upper() in MASK else ord("N") for i in range(256)), np.uint8)
 _COMPLEMENT = np.array([ord(reverse_complement_text(chr(c))) for c in _UPPER], np.uint8)
 HITS = "contig string, strand string, pos long, window string, guide string, offset int, ops string, rguide string, rseq string, mm int, bdna int, brna int"
 STRANDS = ("+", "-")
+#: Windows that a task holds at a time.
+GROUP = 200_000
 
 
 def hits_of(text: np.ndarray, pam: str, size: int, upstream: bool, core: int) -> dict[str, np.ndarray]:
@@ -42,12 +44,43 @@ def text_of(text: np.ndarray, starts: np.ndarray, size: int, strand: str) -> np.
     return m if strand == "+" else _COMPLEMENT[m[:, ::-1]]
 
 
+def _found(batches, pam: str, size: int, upstream: bool):
+    """(batch, row, strand, pos, bases) of the windows in chunks, some GROUP at a time."""
+    for b in batches:
+        found, held = [], 0
+        for k in range(b.num_rows):
+            text = _UPPER[np.frombuffer(b.column("seq")[k].as_buffer(), np.uint8)]
+            start = b.column("start")[k].as_py()
+            for s, (strand, starts) in enumerate(hits_of(text, pam, size, upstream, b.column("core")[k].as_py()).items()):
+                if len(starts):
+                    found.append((np.full(len(starts), k), np.full(len(starts), s), starts + start, text_of(text, starts, size, strand)))
+                    held += len(starts)
+            if held >= GROUP:
+                yield b, *(np.concatenate(x) for x in zip(*found, strict=True))
+                found, held = [], 0
+        if found:
+            yield b, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+_MIX = np.random.default_rng(1).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct one, each row's distinct one). Rows are told apart by a 64-bit sum; should two different ones ever share it, all count as distinct."""
+    with np.errstate(over="ignore"):
+        key = (rows.astype(np.uint64) * _MIX[: rows.shape[1]]).sum(1)
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    if (rows[first[of]] != rows).any():
+        first = of = np.arange(len(rows))
+    return first, of
+
+
 def window_size(guide_length: int, pam: str, caps: Thresholds) -> int:
     return guide_length + len(pam) + caps.pad
 
 
 def _cut(contigs: DataFrame, size: int, chunk: int) -> DataFrame:
-    return chunks(contigs, size - 1, chunk)
+    return spread(chunks(contigs, size - 1, chunk), "contig", "start")
 
 
 def scan_windows(contigs: DataFrame, pam: str, size: int, upstream: bool = False, chunk: int = CHUNK) -> DataFrame:
@@ -64,16 +97,9 @@ def scan_windows(contigs: DataFrame, pam: str, size: int, upstream: bool = False
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for k in range(b.num_rows):
-                text = _UPPER[np.frombuffer(b.column("seq")[k].as_buffer(), np.uint8)]
-                start = b.column("start")[k].as_py()
-                for strand, starts in hits_of(text, pam, size, upstream, b.column("core")[k].as_py()).items():
-                    if len(starts):
-                        m = text_of(text, starts, size, strand)
-                        p = m[:, : len(pam)] if upstream else m[:, size - len(pam) :]
-                        n = len(starts)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(b.column("contig")[k], n), pa.repeat(strand, n), pa.array(starts + start), strings(m), strings(p)], names=["contig", "strand", "pos", "window", "pam"])
+        for b, row, strand, pos, windows in _found(batches, pam, size, upstream):
+            own = windows[:, : len(pam)] if upstream else windows[:, size - len(pam) :]
+            yield pa.RecordBatch.from_arrays([b.column("contig").take(pa.array(row)), pa.array(STRANDS).take(pa.array(strand)), pa.array(pos), strings(windows), strings(own)], names=["contig", "strand", "pos", "window", "pam"])
 
     return _cut(contigs, size, chunk).mapInArrow(run, WINDOWS)
 
@@ -103,7 +129,7 @@ def expand(windows: DataFrame, alignments: DataFrame, key: str = "protospacer")
 def search_hits(contigs: DataFrame, guides: list[str], pam: str, caps: Thresholds, upstream: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Occurrences with their alignments (see HITS): the rows of ``expand(scan_windows, align)``, without a shuffle.
 
-    Windows are aligned in the task that finds them. The windows of a batch of chunks are aligned once each, so
+    Windows are aligned in the task that finds them. The windows of a group of chunks are aligned once each, so
     repeats cost little, and only hits leave the task: far fewer rows than windows.
     """
     pam, size = check(pam), window_size(len(guides[0]), pam, caps)
@@ -112,20 +138,9 @@ def search_hits(contigs: DataFrame, guides: list[str], pam: str, caps: Threshold
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            found = []
-            for k in range(b.num_rows):
-                text = _UPPER[np.frombuffer(b.column("seq")[k].as_buffer(), np.uint8)]
-                start = b.column("start")[k].as_py()
-                for s, (strand, starts) in enumerate(hits_of(text, pam, size, upstream, b.column("core")[k].as_py()).items()):
-                    if len(starts):
-                        found.append((np.full(len(starts), k), np.full(len(starts), s), starts + start, text_of(text, starts, size, strand)))
-            if not found:
-                continue
-            row, strand, pos, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+        for b, row, strand, pos, windows in _found(batches, pam, size, upstream):
             inner = windows[:, len(pam) :] if upstream else windows[:, : size - len(pam)]
-            inner = np.ascontiguousarray(inner)
-            _, first, of = np.unique(inner.view(f"V{inner.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            first, of = _distinct(inner)
             order = np.argsort(of, kind="stable")
             begins = np.searchsorted(of[order], np.arange(len(first) + 1))
             for g in guides:

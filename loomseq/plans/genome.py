@@ -18,6 +18,7 @@ from loomseq.operators.liftover import lift_points
 from loomseq.operators.merge import merge_assemblies, sample_table
 from loomseq.operators.report import rendered
 from loomseq.operators.scan import expand, protospacer, scan_windows, window_groups, window_statistics
+from loomseq.operators.stored import stored
 from loomseq.search import search
 from loomseq.sources.assembly import match_manifest
 from loomseq.sources.bed import terms
@@ -71,13 +72,9 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_statistics(protospacer(_windows(spark, sf_dir), len(PAM)))
 
 
-def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distinct = protospacer(_windows(spark, sf_dir), len(PAM)).select("protospacer").distinct()
-    return align(distinct, GUIDES, Thresholds(MM))
-
-
 def align_mm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alignments(spark, sf_dir).select("guide", "protospacer", "ops", "rseq", "mm")
+    distinct = protospacer(_windows(spark, sf_dir), len(PAM)).select("protospacer").distinct()
+    return align(distinct, GUIDES, Thresholds(MM)).select("guide", "protospacer", "ops", "rseq", "mm")
 
 
 def hamming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +83,8 @@ def hamming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = protospacer(_windows(spark, sf_dir), len(PAM))
-    return expand(windows, _alignments(spark, sf_dir)).select("contig", "strand", "pos", "pam", "guide", "mm")
+    windows = stored(protospacer(_windows(spark, sf_dir), len(PAM)), "windows")
+    return expand(windows, align(windows.select("protospacer").distinct(), GUIDES, Thresholds(MM))).select("contig", "strand", "pos", "pam", "guide", "mm")
 
 
 def align_bulges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +131,7 @@ def pam_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = single_linkage(_windows(spark, sf_dir), ["contig", "strand"], "pos", 3)
+    clustered = single_linkage(stored(_windows(spark, sf_dir), "windows"), ["contig", "strand"], "pos", 3)
     return clustered.groupBy("contig", "strand", "cluster_start", "cluster_no").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("cluster_end"))
 
 

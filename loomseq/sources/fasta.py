@@ -28,7 +28,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = No
     header = F.when(cut > 0, F.substring(text, F.lit(1), cut - 1)).otherwise(text)
     seq = F.when(cut > 0, F.substring(text, cut + 1, F.length(text))).otherwise(F.lit(""))
     name = F.regexp_extract(header, r"^\s*(\S*)", 1)
-    return raw.where(F.trim(F.regexp_replace("value", r"[\s>]", "")) != "").select(name.alias("contig"), encode(F.translate(seq, " \t\r\n", ""), strict).alias("seq"), "file")
+    return raw.where(F.trim(F.regexp_replace("value", r"[\s>]", "")) != "").select(name.alias("contig"), encode(F.regexp_replace(seq, r"\s+", ""), strict).alias("seq"), "file")
 
 
 def check_contigs(contigs: DataFrame) -> DataFrame:
@@ -71,6 +71,12 @@ def statistics(contigs: DataFrame) -> DataFrame:
     return contigs.select("contig", F.length("seq").cast("long").alias("length"), n_count(F.col("seq")).cast("long").alias("n_count"))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt anew where they come from fewer files than there are cores, as one file may be one task's; with more files nothing is moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores, *keys) if len(rows.inputFiles()) < cores else rows
+
+
 def chunks(contigs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     """``contig, start, core, seq``: cores of ``size`` bases that tile each contig, each with up to ``overlap`` more bases on its right.
 
@@ -112,4 +118,5 @@ def pseudo_contigs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``contig, seq`` made of any text: ASCII letters become bases in turn (a and e: A, b and f: C, ...), all else goes. For trials on tables without genomes."""
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     bases = "".join("ACGT"[i % 4] for i in range(len(letters)))
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("contig"), F.regexp_replace(F.translate(F.regexp_replace(text_col, "[^a-zA-Z]", ""), letters, bases), "[^ACGT]", "").alias("seq"))
+    rows = spread(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("contig"), F.col(text_col).alias("seq")), "contig")
+    return rows.select("contig", F.translate(F.regexp_replace("seq", "[^a-zA-Z]+", ""), letters, bases).alias("seq"))
