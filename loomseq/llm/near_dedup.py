@@ -205,7 +205,8 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     mark, k = None, 0
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first())
-        if now == mark or now[0] == now[2]:  # every document has one edge: to its component
+        # Done where every document has one edge and none of these leads on: all are stars about their smallest identifier.
+        if now == mark or now[0] == now[2] and edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()).groupBy("id").agg(F.min("comp").alias("comp"))
         mark, k = now, k + 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

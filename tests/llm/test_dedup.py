@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from loomseq.llm import queries
+from loomseq.llm.common import Scratch
 from loomseq.llm.exact_dedup import exact_dedup
 from loomseq.llm.line_dedup import line_dedup
-from loomseq.llm.near_dedup import agree, least_matches, near_duplicates, sketch
+from loomseq.llm.near_dedup import agree, components, least_matches, near_duplicates, sketch
 
 from .conftest import duck, rows_of
 
@@ -135,6 +136,20 @@ def test_near_by_hand(spark, k, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_components_of_chains(spark):
+    chains = [(100 * n + k + 1, 100 * n + k) for n in range(3, 11) for k in range(1, n)]
+    triangle = [(2, 1), (3, 2), (3, 1)]
+    for name, links in {"two": [(3, 2), (2, 1)], "chains": chains, "triangle": chains + triangle}.items():
+        got = components(Scratch(spark, "chains"), spark.createDataFrame(links, "a long, b long"), name).collect()
+        assert {r["id"]: r["comp"] for r in got} == {x: x // 100 * 100 + 1 for link in links for x in link}
+
+
+def test_near_chain_of_texts(spark):
+    data = [(n * 100 + k, " ".join(f"w{n}-{i}" for i in range(8 * k, 8 * k + 100))) for n in range(3, 11) for k in range(n)]
+    got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=3, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 100 * 100 for i, _ in data}
+
+
 def test_near_odd(odd):
     got = near_duplicates(odd).collect()
     assert len(got) == odd.count()
