@@ -29,8 +29,6 @@ TEMPLATES = [
 #: Words too common in any text to be in the index; what's left is ranked by the corpus's own counts.
 STOP = frozenset("a an and any are by for form forms free from in is of on or person public released terms that the this to under use v version with without 0 2 3 4".split())
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Distinct words of a file, by falling IDF, that are looked up in the index.
-LOOKUPS = 16
 #: Share of a template's rare words that have to stand at their places.
 MATCH = 0.7
 
@@ -56,13 +54,14 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, start), lambda x: x.isNotNull())
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, list[str]]] = TEMPLATES, base: list[tuple[str, str]] = BASE, lookups: int = LOOKUPS, match: float = MATCH) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, list[str]]] = TEMPLATES, base: list[tuple[str, str]] = BASE, match: float = MATCH) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     Words are runs of digits, letters and characters from U+0080 on, A-Z lower-cased. ``n_base`` counts the places of
-    all ``base`` phrases. Of the words that the index holds, a file's ``lookups`` rarest over the corpus are looked up;
-    each posting votes for a template and the place in the file where that template would begin. A template is
-    reported if ``match`` of its rare words vote for one place and its mandatory phrases stand in the file. ``score``
+    all ``base`` phrases. A template is reported if ``match`` of its indexed words stand at their places from one place
+    of the file on, and its mandatory phrases stand in the file. As it may lack some words at most, one of any more of
+    its words has to fit: the rarest over the corpus, one more than it may lack, give all places where it can begin;
+    there, all its words are compared. ``score``
     is the best share of votes of a reported template; at least 0.5 where a base phrase stands, else 0. Null text is
     empty: no words, labels empty. Null identifiers are scanned like others, rows that repeat one give the same rows.
     Very long texts are scanned whole. The text is read once; what goes on is a few places per file.
@@ -103,13 +102,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = found.count()
     idf = F.broadcast(df.select("w", F.log((F.lit(total) + 1) / F.col("df")).alias("idf")))
     posts = F.broadcast(spark.createDataFrame(index, "w string, label string, q long"))
-    need = F.broadcast(spark.createDataFrame([(label, len({(w, q) for w, x, q in index if x == label})) for label, _, _ in templates], "label string, need long"))
-    # Only files with a verified phrase can end as reported; all their occurrences of the words looked up vote.
+    sizes = {label: len({(w, q) for w, x, q in index if x == label}) for label, _, _ in templates}
+    lack = {label: sum(n / need < match for n in range(1, need + 1)) for label, need in sizes.items()}
+    need = F.broadcast(spark.createDataFrame([(label, n, n - lack[label]) for label, n in sizes.items()], "label string, need long, seeds long"))
+    # Only files with a verified phrase can end as reported.
     spread = found.where("size(verified) > 0 and size(hits) > 0").select("_row", "verified", F.explode("hits").alias("h")).select("_row", "verified", "h.w", "h.p")
-    own = spread.select("_row", "w").distinct().join(idf, "w")
-    rare = own.withColumn("k", F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("idf"), "w"))).where(F.col("k") <= lookups).select("_row", "w")
-    votes = spread.join(rare, ["_row", "w"]).join(posts, "w").where(F.array_contains("verified", F.col("label")))
-    votes = votes.groupBy("_row", "label", (F.col("p") - F.col("q")).alias("at")).agg(F.countDistinct("q").alias("n"))
+    ranked = posts.join(idf, "w", "left").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc_nulls_first("idf"), "w", "q")))
+    seeds = F.broadcast(ranked.join(need, "label").where(F.col("k") <= F.col("seeds")).select("w", "label", "q"))
+    starts = spread.join(seeds, "w").where(F.array_contains("verified", F.col("label"))).select("_row", "label", (F.col("p") - F.col("q")).alias("at")).distinct()
+    wanted = starts.join(posts, "label").select("_row", "label", "at", "w", "q", (F.col("at") + F.col("q")).alias("p"))
+    votes = wanted.join(spread.select("_row", "w", "p"), ["_row", "w", "p"]).groupBy("_row", "label", "at").agg(F.countDistinct("q").alias("n"))
     best = votes.join(need, "label").groupBy("_row", "label").agg(F.max(F.col("n") / F.col("need")).alias("share")).where(F.col("share") >= match)
     best = best.groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     out = found.join(best, "_row", "left")

@@ -92,6 +92,14 @@ def test_licenses_by_hand(spark, sf, odd):
         assert label in found[10**6 + i]
 
 
+def test_licenses_many_notices(spark):
+    text = {label: t for label, t, _ in TEMPLATES}
+    sets = [["mit-text", "isc", "apache-2.0"], ["mit-text", "bsd", "gpl-3"], [label for label, _, _ in TEMPLATES][:8], list(text)]
+    rows = [(i, " . ".join(text[label] for label in own)) for i, own in enumerate(sets)]
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert set(sets[r["doc_id"]]) <= set(r["labels"].split(",")) and r["score"] == 1
+
+
 def test_licenses_odd(odd, nothing):
     assert scan_licenses(odd).count() == odd.count() and scan_licenses(nothing).count() == 0
 
