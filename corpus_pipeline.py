@@ -9,8 +9,28 @@ from loomseq.llm import exact_dedup, mixing, near_dedup, packing, quality
 from loomseq.llm.common import Scratch
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row_key``, 64 bits of hash of all columns: rows that share one are alike in everything."""
+    return docs.withColumn("_row_key", F.xxhash64(*docs.columns))
+
+
+def _take(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``chosen`` (``_row_key, _rows, _copies``) names, ``_copies`` times. ``_rows`` tells how many are alike: of these, one is taken."""
+    spark = docs.sparkSession
+    chosen = Scratch(spark, "chosen").table(chosen, "chosen")
+    keyed, several = _keyed(docs), chosen.where("_rows > 1")
+    rows = keyed.join(chosen.where("_rows = 1"), "_row_key")
+    if not several.isEmpty():
+        rows = rows.unionByName(keyed.join(several, "_row_key").dropDuplicates(["_row_key"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def _keep(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group (``_row_key, _group``, one row per row of ``docs``): that of the smallest identifier, null last."""
+    groups = groups.groupBy("_row_key").agg(F.min("_group").alias("_group"), F.count(F.lit(1)).alias("_rows"))
+    ids = _keyed(docs).select("_row_key", "doc_id").distinct()
+    best = ids.join(groups, "_row_key").groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key", "_rows")).alias("b"))
+    return _take(docs, best.select("b._row_key", "b._rows", F.lit(1).alias("_copies")))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,20 +39,20 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text. Documents without an identifier go, as nothing could tell them apart later."""
-    return _keep(docs, exact_dedup.exact_dedup(docs))
+    """One document of each text, whether it has an identifier or not."""
+    return _keep(docs, exact_dedup.exact_dedup(_keyed(docs), "_row_key").select(F.col("doc_id").alias("_row_key"), F.col("keep_id").alias("_group")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return _keep(docs, near_dedup.near_duplicates(docs))
+    return _keep(docs, near_dedup.near_duplicates(_keyed(docs), "_row_key").select(F.col("doc_id").alias("_row_key"), F.col("component_id").alias("_group")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*docs.columns)
+    named = _keyed(docs).withColumn("_row_id", F.struct("doc_id", "_row_key"))
+    copies = mixing.mix(named, "_row_id").groupBy(F.col("doc_id._row_key").alias("_row_key")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
+    return _take(docs, copies.where("_copies > 0"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

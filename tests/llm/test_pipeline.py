@@ -80,3 +80,16 @@ def test_packing_stage(stages):
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").drop("sequence_id", "offset", "sequence_length").count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+LONG = " ".join(f"w{i}" for i in range(100))
+ROWS = "doc_id long, text string, source string"
+
+
+def test_rows_without_identifier(spark):
+    docs = spark.createDataFrame([(None, LONG, "s"), (None, LONG + " more", "s"), (None, "alone of all", "t"), (None, "alone of all", "t"), (3, "with a name", "s"), (None, "with a name", "s")], ROWS)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert sorted(map(str, pairs(exact))) == sorted(map(str, [(None, LONG), (None, LONG + " more"), (None, "alone of all"), (3, "with a name")]))
+    near = corpus_pipeline.drop_near_copies(spark, exact, "")
+    assert len(pairs(near)) == 3 and (None, "alone of all") in pairs(near) and (3, "with a name") in pairs(near)
+    assert (None, "alone of all") in pairs(corpus_pipeline.mix_sources(spark, near, ""))
