@@ -4,6 +4,7 @@ from math import floor
 import pytest
 
 import corpus_pipeline
+from loomseq.llm import mixing
 from loomseq.llm.mixing import offset, targets
 from loomseq.llm.quality import score, train
 
@@ -93,3 +94,14 @@ def test_rows_without_identifier(spark):
     near = corpus_pipeline.drop_near_copies(spark, exact, "")
     assert len(pairs(near)) == 3 and (None, "alone of all") in pairs(near) and (3, "with a name") in pairs(near)
     assert (None, "alone of all") in pairs(corpus_pipeline.mix_sources(spark, near, ""))
+
+
+def test_rows_that_share_an_identifier(spark):
+    docs = spark.createDataFrame([(1, "one text", "s"), (1, "one  text", "s"), (1, "one text", "s"), (2, "one text", "s"), (2, "other text", "t")], ROWS)
+    exact = pairs(corpus_pipeline.drop_exact_copies(spark, docs, ""))
+    assert sorted((i, normal(t)) for i, t in exact) == [(1, "one text"), (2, "other text")]
+    near = spark.createDataFrame([(1, LONG, "s"), (1, LONG + " more", "s"), (1, "far from it", "s")], ROWS)
+    assert len(pairs(corpus_pipeline.drop_near_copies(spark, near, ""))) == 2
+    mixed = spark.createDataFrame([(1, "w " * n, "st"[n % 2]) for n in range(1, 9)] + [(1, "w w", "s")] * 3, ROWS)
+    want = sum(r["copies"] for r in mixing.mix(mixed).collect())
+    assert len(pairs(corpus_pipeline.mix_sources(spark, mixed, ""))) == want
