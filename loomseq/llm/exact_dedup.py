@@ -1,4 +1,4 @@
-"""Exact dedup by a tree-merge of sorted digest runs, in DataFrame functions only."""
+"""Exact dedup by a tree of rounds, each a grouped minimum over neighbouring runs of digests (nothing is sorted), in DataFrame functions only."""
 
 from __future__ import annotations
 
