@@ -92,6 +92,12 @@ class Encoder:
         out = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER)
         return chr(_LETTER[32]) + out if len(word) != len(chunk) and self.kind == "spaced" else out
 
+    def _ends_in_letter(self, head: str) -> bool:
+        """Whether the last character is a letter after the normaliser too: some letters, such as a capital I with a dot, lower-case or decompose to a letter and a mark, which the library joins to punctuation after it."""
+        if self.kind == "words" and not head.isascii():
+            head = unicodedata.normalize("NFC", head)[-1:].lower()
+        return head[-1:].isalpha()
+
     def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of chunks in a row, and each one's start and length; many in one call, where the mark's id tells where one ends."""
         starts, lens = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
@@ -128,7 +134,7 @@ class Encoder:
         return np.concatenate(flat), starts, lens
 
     def _learn(self, new: list[str]) -> None:
-        """Append the ids of new chunks to the cache. A chunk's last full stops and commas are encoded apart from letters before them, as the library does."""
+        """Append the ids of new chunks to the cache. A chunk's last full stops and commas are encoded apart from a letter before them, as the library does."""
         base: dict[str, int] = {}
         heads, tails = [], []
         put = base.setdefault
@@ -136,7 +142,7 @@ class Encoder:
             head = c.rstrip(_TAIL)
             tail = ""
             if len(head) != len(c):
-                if head and head[-1].isalpha():
+                if self._ends_in_letter(head):
                     tail = c[len(head) :]
                 else:
                     head = c

@@ -17,6 +17,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Windows in a block that is differenced as one; a block's pieces are all that a task keeps.
 BLOCK_WINDOWS = 128
+#: Pieces after which a block is differenced even if it fills fewer windows, so that tiny texts don't make it large.
+BLOCK_PIECES = 1 << 14
 #: Longest piece of what a document has beyond its full sequences.
 PIECE = 512
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -130,7 +132,7 @@ def _packer(path: str, capacity: int, end_id: int, piece: int, block_windows: in
                         else:
                             rest.append(row)
                             held += length
-                    if held >= block_windows * capacity:
+                    if held >= block_windows * capacity or len(rest) >= BLOCK_PIECES:
                         rows += block(rest)
                         rest, held = [], 0
                 if rows:
@@ -146,7 +148,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     A document is the ids of its whole text, then ``end_id``. As many full sequences as it holds are cut from its
     start; the rest, in pieces of at most ``piece`` ids, waits with others of its partition until they fill a block of
-    ``block_windows`` windows, which Karmarkar-Karp differencing balances. The number of windows is the least that
+    ``block_windows`` windows or are BLOCK_PIECES, which Karmarkar-Karp differencing balances. The number of windows is the least that
     holds the block, and rises by one as long as any window is over capacity. Blocks are independent: no shuffle, and
     a task keeps one block of piece sizes, never ids. ``sequence_length`` tells how much of a sequence is filled.
     Null and empty texts are just the end id. Null or repeated identifiers are packed like others. An empty table

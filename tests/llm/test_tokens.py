@@ -41,7 +41,31 @@ def test_encoder_on_any_text(texts):
         assert ids_of(path, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|startoftext|>b", "it's we'll  they'RE", "x.,.,y", "été.,", "\u200b a", "e\u0301 \u0301x", "<|endoftext|", "1.5,2"])
+#: Letters that change under case or composition, marks, digits, odd white space and punctuation.
+ODD = " \n\t.,'-_<|>Ab1\u00a0\u2003\u3000\x1c\x1f\x01\u0301\u0307\u0345\u0130\u0131\u00c9\u00df\u1e9e\u03a3\u03c2\u0390\u1fbc\u01c5\ufb01\u0149\u01f0\u212a\u212b\u0958\u0663\u1100\u1161\u11a8\uac00\u65e5\U00010400\U0001d7ce\u200d\u0e33"
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_on_many_random_texts(path):
+    rng = np.random.default_rng(5)
+    lens = rng.integers(1, 10, 100_000)
+    letters = np.array(list(ODD))[rng.integers(0, len(ODD), int(lens.sum()))]
+    ends = np.cumsum(lens)
+    short = ["".join(letters[b - n : b]) for b, n in zip(ends, lens, strict=True)]
+    texts = short[:5000] + ["\n".join(short[k : k + 100]) for k in range(5000, len(short), 100)]
+    assert ids_of(path, texts) == [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_on_every_character(path):
+    import unicodedata
+
+    known = [f"a{c}b {c}.,{c}" for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    texts = ["\n".join(known[k : k + 100]) for k in range(0, len(known), 100)]
+    assert ids_of(path, texts) == [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("text", ["\u0130,", "DEVLET\u0130.", "a\u0130,,b", "\u0958.", "<|endoftext|>", "a <|startoftext|>b", "it's we'll  they'RE", "x.,.,y", "été.,", "\u200b a", "e\u0301 \u0301x", "<|endoftext|", "1.5,2"])
 def test_encoder_on_known_troubles(text):
     for path in (BYTE, WORD):
         assert ids_of(path, [text]) == [library(path).encode(text, add_special_tokens=False).ids]
@@ -95,6 +119,11 @@ def test_packing(spark, sf):
     assert n * 2048 <= 1.03 * sum(r["length"] for r in rows) + 2048
 
 
+def test_many_tiny_texts_stay_bounded(spark):
+    rows = pack(spark.range(40_000).selectExpr("id as doc_id", "cast(null as string) as text").coalesce(1)).collect()
+    assert check_packing(rows, dict.fromkeys(range(40_000))) <= 40_000 // 2048 + 3
+
+
 def test_packing_odd(spark, odd, nothing):
     unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     check_packing(pack(unique).collect(), {r["doc_id"]: r["text"] for r in unique.collect()})
