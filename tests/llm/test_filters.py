@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomseq.llm import queries
-from loomseq.llm.license_scan import BASE, TEMPLATES, scan_licenses
+from loomseq.llm.license_scan import BASE, MATCH, STOP, TEMPLATES, read_templates, scan_licenses
 from loomseq.llm.mixing import mix, targets
 from loomseq.llm.quality import fit, score, train
 from loomseq.llm.url_filter import LISTED, RULES, bloom, filter_urls
@@ -66,26 +66,42 @@ def test_large_bloom_path_agrees(spark, monkeypatch):
     assert sorted(map(tuple, filter_urls(pages, listed).collect())) == small
 
 
+def license_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+
+
 def license_by_hand(text):
-    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    """All columns but doc_id, every template tried at every place."""
+    words = license_words(text)
     places, labels = [], set()
     for phrase, label in BASE:
         p = phrase.split(" ")
         own = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
         places += own
         labels |= {label} if own else set()
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+    best = 0.5 if places else 0.0
+    more = set(labels)
+    for label, text, phrases in TEMPLATES:
+        own = [(q, w) for q, w in enumerate(license_words(text)) if w not in STOP]
+        starts = {i - q for q, w in own for i in [k for k, x in enumerate(words) if x == w]}
+        share = max((sum(0 <= at + q < len(words) and words[at + q] == w for q, w in own) / len(own) for at in starts), default=0)
+        if share >= MATCH and all(f" {' '.join(license_words(p))} " in f" {' '.join(words)} " for p in phrases):
+            more.add(label)
+            best = max(best, share)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), best
 
 
 def test_licenses_by_hand(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    own = [(10**6 + i, t) for i, (_, t, _) in enumerate(TEMPLATES)] + [(2 * 10**6, "CC BY cc by-cc BY\x7fcc__by mit  License")]
+    rng = np.random.default_rng(2)
+    cut = [" ".join(w for w in t.split(" ") if rng.random() > 0.15) for _, t, _ in TEMPLATES for _ in range(6)]  # notices with words missing
+    own = [(4 * 10**6 + i, f"{a} and {b}") for i, (a, b) in enumerate(zip(cut, cut[5:], strict=False))] + [(10**6 + i, t) for i, (_, t, _) in enumerate(TEMPLATES)] + [(2 * 10**6, "CC BY cc by-cc BY\x7fcc__by mit  License")]
     docs = docs.unionByName(spark.createDataFrame(own, "doc_id long, text string")).unionByName(odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id") + 3 * 10**6, "text").toDF("doc_id", "text"))
     texts = dict(map(tuple, docs.collect()))
     got = scan_licenses(docs).collect()
     assert len(got) == len(texts)
     for r in got:
-        assert tuple(r)[1:6] == license_by_hand(texts[r["doc_id"]])
+        assert tuple(r)[1:] == license_by_hand(texts[r["doc_id"]])
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     found = {r["doc_id"]: r["labels"].split(",") for r in got}
     for i, (label, _, _) in enumerate(TEMPLATES):
@@ -100,6 +116,14 @@ def test_licenses_many_notices(spark):
         assert set(sets[r["doc_id"]]) <= set(r["labels"].split(",")) and r["score"] == 1
 
 
+def test_template_file(tmp_path):
+    (tmp_path / "t").write_text("# label, notice, phrases\n\none\tfirst notice of all\tfirst notice|of all\n")
+    assert read_templates(str(tmp_path / "t")) == [("one", "first notice of all", ["first notice", "of all"])]
+    (tmp_path / "t").write_text("one\tnotice\n")
+    with pytest.raises(ValueError, match="line 1"):
+        read_templates(str(tmp_path / "t"))
+
+
 def test_licenses_odd(odd, nothing):
     assert scan_licenses(odd).count() == odd.count() and scan_licenses(nothing).count() == 0
 
