@@ -1,8 +1,8 @@
-"""Exact dedup by a tree of rounds, each a grouped minimum over neighbouring runs of digests (nothing is sorted), in DataFrame functions only."""
+"""Exact dedup by a tree merge of sorted digest runs, in DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import Scratch, documents, keyed_join
@@ -11,21 +11,29 @@ FAN_IN = 8
 _RUN = ["text_sha256", "_n", "_x"]
 
 
-def merge_runs(digests: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+def merge_runs(digests: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """Winners per digest: ``text_sha256, _n, _x, keep_id, group_size``.
 
-    ``digests`` has ``doc_id, text_sha256, _n, _x, _run``: a run is what one partition read. In each round ``fan_in``
-    neighbouring runs meet and are merged into one, a digest keeping its smallest identifier and its count; a run is
-    spread over tasks by its digests, so a merge never needs one task for a whole run. A digest's rows only merge if
-    the text's length and a second hash agree too. A digest meets at most ``fan_in`` of its own rows in a round, so
-    even a group that holds most of the corpus stays cheap.
+    ``digests`` has ``doc_id, text_sha256, _n, _x, _run``; runs are numbered from 0 up to ``runs``. Each round writes
+    every run in digest order, equal digests already folded, and brings together the runs whose numbers agree but for
+    the lowest digit in base ``fan_in``: a task merges the sorted pieces of up to ``fan_in`` runs and keeps a digest's
+    smallest identifier and its count. That is a sort aggregate on either side of an exchange; Spark picks it for the
+    buffer's type, and its sort takes sorted pieces as they are (it merges natural runs). After log(runs) rounds one
+    run is left. A run is dealt to tasks by its digests, so none is one task's work, and a digest meets at most
+    ``fan_in`` of its own rows, so even a group that holds most of the corpus stays cheap. Digests only count as equal
+    if the text's length and a second hash agree too, at every level.
     """
-    runs = (digests.agg(F.max("_run").alias("r")).first()["r"] or 0) + 1
-    merged = digests.groupBy("_run", *_RUN).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+    def merged(rows: DataFrame, best: Column, size: Column) -> DataFrame:
+        return rows.groupBy("_run", *_RUN).agg(F.min(best).alias("_best"), size.alias("group_size"))
+
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    level = digests.withColumn("_run", F.floor(F.col("_run") / fan_in))
+    level, runs = merged(level, best, F.count(F.lit(1))), -(-runs // fan_in)
     while runs > 1:
+        level = merged(level.withColumn("_run", F.floor(F.col("_run") / fan_in)), F.col("_best"), F.sum("group_size"))
         runs = -(-runs // fan_in)
-        merged = merged.withColumn("_run", F.floor(F.col("_run") / fan_in)).groupBy("_run", *_RUN).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return merged.drop("_run")
+    return level.select(*_RUN, F.col("_best.id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
@@ -40,11 +48,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("_t"))
     digests = scratch.table(
-        rows.select("doc_id", F.sha2("_t", 256).alias("text_sha256"), F.length("_t").alias("_n"), F.xxhash64("_t").alias("_x"), F.spark_partition_id().alias("_run")),
+        rows.select("doc_id", F.sha2("_t", 256).alias("text_sha256"), F.length("_t").alias("_n"), F.xxhash64("_t").alias("_x")),
         "digests",
     )
-    winners = scratch.table(merge_runs(digests, fan_in), "winners")
-    out = keyed_join(digests.drop("_run"), winners, _RUN, "group_size", digests.count())
+    # A run is what one task reads of the digests, which are far fewer bytes than the texts.
+    runs = digests.select(F.spark_partition_id().alias("r")).agg(F.max("r").alias("r")).first()["r"] or 0
+    numbered = digests.withColumn("_run", F.least(F.spark_partition_id(), F.lit(runs)))
+    winners = scratch.table(merge_runs(numbered, runs + 1, fan_in), "winners")
+    out = keyed_join(digests, winners, _RUN, "group_size", digests.count())
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
