@@ -1,5 +1,8 @@
 import hashlib
+import os
 import re
+import shutil
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -74,6 +77,53 @@ def test_lines_by_hand(spark):
         assert [x for s in r["spans"] for x in range(s["first"], s["last"] + 1)] == gone
 
 
+def lines_by_row(data, window=3):
+    """The same for rows, of which several may share an identifier: (doc_id, n_lines, n_removed, text) of each."""
+    ranked = sorted(((i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), n, (t or "").split("\n")) for n, (i, t) in enumerate(data) if i is not None))
+    first, count, out = {}, defaultdict(int), []
+    for i, m, n, lines in ranked:
+        for p in range(len(lines) - window + 1):
+            count[tuple(lines[p : p + window])] += 1
+            first.setdefault(tuple(lines[p : p + window]), (n, p))
+    for n, (i, t) in enumerate(data):
+        lines, gone = (t or "").split("\n"), set()
+        for p in range(len(lines) - window + 1) if i is not None else ():
+            key = tuple(lines[p : p + window])
+            if first[key] != (n, p):
+                gone |= set(range(max(p, first[key][1] + window) if first[key][0] == n else p, p + window))
+        out.append((i, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_lines_of_rows_that_share_an_identifier(spark, tmp_path):
+    shared, own = [f"s{i}" for i in range(4)], [f"u{i}" for i in range(5)]
+    data = [(1, "\n".join(shared)), (2, "\n".join([*shared, "x", "y"])), (2, "\n".join(own))]
+    got = sorted(map(tuple, line_dedup(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text").collect()), key=repr)
+    assert got == lines_by_row(data) and (2, 5, 0, "\n".join(own)) in got
+    rng = np.random.default_rng(8)
+    data = [(int(rng.integers(0, 6)) or None, "\n".join(rng.choice(list("abc"), rng.integers(0, 12)))) for _ in range(60)]
+    data += data[:10]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup(docs.repartition(4)).select("doc_id", "n_lines", "n_removed", "text").collect()), key=repr)
+    assert got == lines_by_row(data)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    os.rename(next(str(p) for p in (tmp_path / "documents.parquet").glob("*.parquet")), f"{tmp_path}/one")
+    shutil.rmtree(tmp_path / "documents.parquet")
+    os.rename(f"{tmp_path}/one", f"{tmp_path}/documents.parquet")
+    assert rows_of(queries.QUERIES["op5_line_dedup"](spark, str(tmp_path))) == duck(queries.ORACLE_SQL["op5_line_dedup"], str(tmp_path))
+
+
+def test_lines_of_long_texts(spark):
+    text = "\n".join(f"line {i}" for i in range(19_998))
+    every_other = "\n".join(f"line {i}" if i % 9 < 5 else f"own {i}" for i in range(19_998))
+    spark.range(1).count()
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame([(1, text), (2, text), (3, every_other)], "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 60
+    assert (got[1]["n_removed"], got[2]["n_removed"], got[2]["text"], len(got[2]["spans"])) == (0, 19_998, "", 1)
+    assert got[3]["n_removed"] == sum(i % 9 < 5 for i in range(19_998)) and got[3]["text"] == "\n".join(f"own {i}" for i in range(19_998) if i % 9 >= 5)
+
+
 def test_lines_odd(odd):
     got = line_dedup(odd).collect()
     assert len(got) == odd.count()
