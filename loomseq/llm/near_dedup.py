@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import Scratch, documents
+from loomseq.llm.common import Scratch, documents, keyed_join
 from loomseq.llm.textnp import frugal, mix, shingles, slices, words
 
 SHINGLE = 5
@@ -24,6 +24,8 @@ MISS = 1e-4
 FIRST_TRIES = 8
 #: Rows of a bucket on either side of a cell, the unit in which sketches are compared.
 CELL = 1024
+#: Partners of a hub that are checked against it in one task's run of rows.
+SLICE = 256
 #: Documents whose identifiers (8 bytes each) may be broadcast to pick their texts; more go by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Draws up to which bounds are tabulated; more only sharpen them.
@@ -180,21 +182,31 @@ def _prune(least: np.ndarray, percent: int):
 
 
 def _exact(percent: int):
+    """Pairs of a slice of a hub's partners whose sets are similar enough. Rows ``a, slice, b, val`` come in order: first the hub's own set(s), where b is null, then its partners'."""
+
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            good = []
-            for i, (x, y) in enumerate(zip(b.column("va"), b.column("vb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        at, hub = None, []
+        for rows in batches:
+            found: list[tuple[int, int]] = []
+            for a, part, b, val in zip(rows.column("a").to_pylist(), rows.column("slice").to_pylist(), rows.column("b").to_pylist(), rows.column("val"), strict=True):
+                y = np.frombuffer(val.as_buffer(), np.uint64)
+                if at != (a, part):
+                    at, hub = (a, part), []
+                if b is None:
+                    hub.append(y.copy())
                     continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+                for x in hub:
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        found.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -312,8 +324,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only buckets with several components are open: members outside a bucket's largest component are tried against the
     members of other components, the best few first, and in a last round all. Candidates are pruned by comparing
     sketches in batches of bins, coarse ones then fine ones, until the posterior chance of a link is under ``miss``;
-    survivors are checked on their full sets. Pairs inside a component are never made. Large buckets are cut into
-    cells, and joins on documents in very many pairs are left to Spark's splitting of skewed joins. A link is missed
+    survivors are checked on their full sets. A sketch is the set's one-permutation MinHash signature (a minimum per
+    bin of one hash function), and a look compares one batch of its bins. Pairs inside a component are never made.
+    Large buckets are cut into cells, and a hub's many partners into slices. Words and shingles are known by 64 bits
+    of hash, sets by 128. A link is missed
     with a chance of about (1 - s^ROWS)^BANDS plus ``miss`` for each look, s being its similarity, and only if no other
     path joins the two.
 
@@ -324,6 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     least = least_matches(percent, miss)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.table(plain.mapInArrow(frugal(_sign(shingle)), SIGNED), "signed")
     some = signed.where("set_key is not null")
@@ -336,13 +351,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("bands")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
+        """The pairs whose full sets are similar enough. A hub's partners are cut into slices; its set travels once to each slice, and a slice is one task's work at most."""
         ids = scratch.table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
         texts = _pick(plain.withColumnRenamed("doc_id", "id"), ids)
         sets = scratch.table(texts.mapInArrow(frugal(_texts_to_sets(shingle)), "id long, val binary"), f"{name}-sets")
-        one = pairs.join(sets.select(F.col("id").alias("a"), F.col("val").alias("va")), "a")
-        both = one.join(sets.select(F.col("id").alias("b"), F.col("val").alias("vb")), "b")
-        out = scratch.table(both.mapInArrow(frugal(_exact(percent)), "a long, b long"), f"{name}-links")
+        per = scratch.table(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), f"{name}-hubs")
+        cut = keyed_join(pairs, per, ["a"], "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SLICE)).alias("slice"), "b")
+        cut = scratch.table(cut, f"{name}-cut")
+        hubs = cut.select("a", "slice").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "val")
+        partners = cut.join(sets.withColumnRenamed("id", "b"), "b").select("a", "slice", "b", "val")
+        dealt = hubs.unionByName(partners).repartition(parts, "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+        out = scratch.table(dealt.mapInArrow(frugal(_exact(percent)), "a long, b long"), f"{name}-links")
         scratch.drop(f"{name}-sets")
         return out
 
@@ -352,7 +371,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = scratch.table(star.mapInArrow(frugal(_prune(least, percent)), "a long, b long"), "star-tried")
     links = verify(tried, "star")
     comps = scratch.table(components(scratch, links, "comp-0"), "comps-0")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k, tries in enumerate((FIRST_TRIES, None), 1):
         rows = _open_cells(members, comps, named.select("id", "n_shingles", "bands", "coarse", "fine"), scratch, f"open-{k}")
         if rows is None:
@@ -376,4 +394,16 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS sh FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN least ON least.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+}

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_token_store": token_store.op10_token_store,
 }
-ORACLE_SQL = exact_dedup.SQL | line_dedup.SQL | mixing.SQL | url_filter.SQL | license_scan.SQL
+ORACLE_SQL = exact_dedup.SQL | line_dedup.SQL | mixing.SQL | near_dedup.SQL | url_filter.SQL | license_scan.SQL

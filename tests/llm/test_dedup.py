@@ -194,6 +194,18 @@ def test_components_of_chains(spark):
         assert {r["id"]: r["comp"] for r in got} == {x: x // 100 * 100 + 1 for link in links for x in link}
 
 
+def test_near_hub_of_many_slices(spark, monkeypatch):
+    from loomseq.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SLICE", 4)
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = list(rng.choice(vocabulary, 200))
+    data = [(c, " ".join(edited(rng, base, 0.01 if c % 3 else 0.2, vocabulary))) for c in range(80)]
+    got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(near_by_hand(data, 3, 85))
+
+
 def test_near_chain_of_texts(spark):
     data = [(n * 100 + k, " ".join(f"w{n}-{i}" for i in range(8 * k, 8 * k + 100))) for n in range(3, 11) for k in range(n)]
     got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=3, percent=80).collect()
