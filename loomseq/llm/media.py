@@ -14,6 +14,8 @@ from loomseq.llm.common import Scratch, documents, keyed_join
 from loomseq.llm.textnp import frugal
 
 UNIT = 64
+#: Digests that a task remembers so as to store a payload once; then it forgets them, and a payload may be stored again.
+REMEMBER = 200_000
 PREFIX = "sha256:"
 SEQUENCE = "array<struct<pos:long,kind:string,text:string,ref:string,caption:string>>"
 _VOID = {"script", "style", "template", "noscript"}
@@ -99,15 +101,15 @@ def resolve(sequences: DataFrame, payloads: DataFrame, prefix: str = PREFIX) ->
     """One row per item of each sequence, ``page_id, pos, kind, text, ref, caption, digest`` and the columns of ``payloads``, which has one row per ``digest``.
 
     A reference ``sha256:<digest>`` is joined by what follows the prefix. Items keep their place and caption whether or not their
-    payload is known (its columns are null then). A digest that very many pages show is broadcast, never dealt to one
-    task.
+    payload is known (its columns are null then). A digest that very many pages show is broadcast with its columns of
+    ``payloads``, known or not, and never dealt to one task; so let these be small, such as features or a location.
     """
     spark = sequences.sparkSession
     scratch = Scratch(spark, "resolve")
     items = sequences.select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")
     items = scratch.table(items.withColumn("digest", F.when(F.col("ref").startswith(prefix), F.col("ref").substr(len(prefix) + 1, 200))), "items")
     uses = items.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("_n"))
-    table = scratch.table(uses.join(payloads, "digest"), "payloads")
+    table = scratch.table(uses.join(payloads, "digest", "left"), "payloads")
     media = keyed_join(items.where("digest is not null"), table, ["digest"], "_n", items.count(), "left")
     return media.drop("_n").unionByName(items.where("digest is null"), allowMissingColumns=True)
 
@@ -160,6 +162,8 @@ def _store(batches):
             key = digest.digest() + n.to_bytes(8, "little")
             if key in seen:
                 continue
+            if len(seen) >= REMEMBER:
+                seen.clear()
             seen.add(key)
             out.append((f"{digest.hexdigest()}-{n}", n, encode_media(payload)))
             size += len(payload)
@@ -193,11 +197,13 @@ def _features(batches):
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each document's bytes as media, read them back and compute features; one row per row of ``docs``.
 
-    A document becomes a page with one figure, whose image is a reference by digest and length and whose caption is
-    the identifier; the page is parsed to its sequence and the reference resolved like any other. The stored table
-    holds a payload once for each partition that has it; it is written by Spark's own committed writer to the shared
-    folder and read back from there. Only digests and features are shuffled, never payloads. Null text is empty: one
-    row of zeros. Null and repeated identifiers keep their rows. An empty table gives an empty result.
+    A document becomes a page: a paragraph for each of its lines, then a figure, whose image is a reference by digest
+    and length and whose caption is the identifier. The page is parsed to its sequence of texts and the reference
+    (``pos`` is the reference's place in it), and the reference resolved like any other. The stored table holds a
+    payload once for each partition that has it (more often where a partition has over REMEMBER payloads); it is
+    written by Spark's own committed writer to the shared folder and read back from there. Only digests and features
+    are shuffled, never payloads or texts. Null text is empty: one row of zeros. Null and repeated identifiers keep
+    their rows. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "media")
@@ -205,13 +211,16 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.octet_length(text).cast("long")
     zeros = F.when(n == 0, UNIT).otherwise((UNIT - n % UNIT) % UNIT).cast("int")
     digest = F.concat(F.sha2(F.concat(F.encode(text, "UTF-8"), F.expr("cast(repeat(decode(X'00', 'UTF-8'), %d) as binary)" % UNIT).substr(F.lit(1), zeros)), 256), F.lit("-"), n.cast("string"))
-    html = F.concat(F.lit(f'<figure><img src="{PREFIX}'), digest, F.lit('"><figcaption>'), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("</figcaption></figure>"))
-    sequences = interleave(docs.select(F.col(id_col).alias("page_id"), html.alias("html")))
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    paragraphs = F.concat(F.lit("<article><p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article>"))
+    html = F.concat(paragraphs, F.lit(f'<figure><img src="{PREFIX}'), digest, F.lit('"><figcaption>'), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("</figcaption></figure>"))
+    whole = interleave(docs.select(F.col(id_col).alias("page_id"), html.alias("html")))
+    sequences = whole.select("page_id", F.filter("items", lambda i: i["kind"] == "media").alias("items"))  # texts have no payload to resolve
     stored = scratch.table(docs.select(text.alias("text")).mapInArrow(frugal(_store), STORED), "stored")
     features = stored.select("digest", "media").mapInArrow(frugal(_features), FEATURES)
     fields = [x.strip().split()[0] for x in FEATURES.split(",")][1:]
     one = features.groupBy("digest").agg(*[F.first(c).alias(c) for c in fields])
-    return resolve(sequences, one).select(F.col("page_id").alias("doc_id"), F.substring_index("digest", "-", -1).cast("long").alias("n_bytes"), *fields)
+    return resolve(sequences, one).select(F.col("page_id").alias("doc_id"), F.substring_index("digest", "-", -1).cast("long").alias("n_bytes"), *fields, "pos", "caption")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,10 @@ def test_media(spark, odd, nothing):
         return i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()
 
     assert sorted((tuple(r)[:7] for r in got), key=repr) == sorted((want(i, t) for i, t in texts), key=repr)
+    lines = {}
+    for i, t in texts:  # the reference stands after all lines that aren't blank, with its caption
+        lines.setdefault(i, set()).add(sum(bool(x.split()) for x in (t or "").split("\n")))
+    assert all(r["pos"] in lines[r["doc_id"]] and r["caption"] == ("null" if r["doc_id"] is None else str(r["doc_id"])) for r in got)
     features = {}
     for r in got:
         features.setdefault((r["payload_sha256"], r["n_bytes"]), set()).add(r["feature"])
@@ -194,6 +198,39 @@ def test_media_round_trip(raw):
     assert payload_of(text)[0].rstrip(b"\0") == text.encode().rstrip(b"\0")
 
 
+def test_store_forgets(spark, monkeypatch):
+    from loomseq.llm import media
+
+    monkeypatch.setattr(media, "REMEMBER", 3)
+    import pyarrow as pa
+
+    texts = [f"t{i % 5}" for i in range(20)]
+    kept = [r for b in media._store([pa.RecordBatch.from_pydict({"text": texts})]) for r in b.column("digest").to_pylist()]
+    assert len(set(kept)) == 5 and len(kept) > 5
+
+
+def test_pages_as_sequences(spark, sf):
+    """Real pages: every item in order, images with their captions; the text of all items is the page's visible text."""
+    import re
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = interleave(pages).collect()
+    assert len(got) == len(html)
+    for r in got:
+        items = r["items"]
+        assert [x["pos"] for x in items] == list(range(len(items)))
+        visible = re.sub(r"(?s)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1>", "", html[r["page_id"]] or "")
+        assert [x["ref"] for x in items if x["kind"] == "media"] == re.findall(r"<(?:img|video|audio|source|embed)\b[^>]*?\bsrc=[\"']([^\"']+)", visible)
+        assert all(x["text"] and "<p" not in x["text"] for x in items if x["kind"] == "text")
+    first = [(r["page_id"], "known" if i % 2 else "not") for i, r in enumerate(got)]
+    mixed = spark.createDataFrame([(p, f'<p>before</p><img src="sha256:{d}" alt="of {p}">{html[p] or ""}') for p, d in first], "page_id long, html string")
+    resolved = resolve(interleave(mixed), spark.createDataFrame([("known", 5)], "digest string, size long"))
+    assert resolved.count() == sum(len(parse_html(f'<p>before</p><img src="x">{h or ""}')) for h in html.values())
+    for r in resolved.where("digest is not null").collect():
+        assert (r["pos"], r["caption"], r["size"]) == (1, f"of {r['page_id']}", 5 if r["digest"] == "known" else None)
+
+
 def test_interleaving(spark):
     html = '<p>Hello <b>you</b></p><img src="sha256:aa" alt="one"><figure><img src="sha256:bb"><figcaption>cap tion</figcaption></figure><script>no</script>tail'
     items = [(x["pos"], x["kind"], x["text"], x["ref"], x["caption"]) for x in parse_html(html)]
