@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import Scratch, documents
@@ -12,12 +13,10 @@ from loomseq.llm.common import Scratch, documents
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
-#: Sources are a list kept by people; over so many, the driver refuses rather than gathers.
-MAX_SOURCES = 1_000_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
-    """Words to take from each source. Sources by code point, null last, weigh ``weights`` repeating and share all words; none gets over ``most`` times its own, and what is over is shared anew by weight."""
+    """Words to take from each source, for a list of sources that fits in memory (``target_table`` is for any number). Sources by code point, null last, weigh ``weights`` repeating and share all words; none gets over ``most`` times its own, and what is over is shared anew by weight."""
     order = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode()))
     weigh = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
     own, total = dict(order), sum(n for _, n in order)
@@ -35,6 +34,38 @@ def offset(source: str | None, seed: str = SEED) -> float:
     return int(hashlib.md5(f"{seed}|{'null' if source is None else 's' + source}".encode()).hexdigest()[:8], 16) / 2**32
 
 
+def target_table(sums: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """``targets`` and ``offset`` as a table, for any number of sources: ``source, source_size, target, u``, from ``sums`` (``source, source_size``, one row a source).
+
+    Sources are numbered by range partitions, each counted and numbered on its own. A source is full if its share by
+    weight is over ``most`` times its size. Which ones are depends on two sums alone, what is left to share and the
+    weight it is shared by: the driver holds these two numbers, and sums again until no further source is full.
+    """
+    spark = sums.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = scratch.table(sums.select("source", "source_size").repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sources-ranged")
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    numbered = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(before), "part")
+    weight_of = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("before") + F.col("k") - 1) % len(weights) + 1).cast("int"))
+    table = scratch.table(numbered.select("source", "source_size", weight_of.cast("decimal(10,0)").alias("w"), (F.col("source_size").cast("decimal(20,0)") * most).alias("cap")), "sources")
+    total, weight = (int(x or 0) for x in table.agg(F.sum("source_size"), F.sum("w")).first())
+    left = total
+
+    def full(left: int, weight: int) -> Column:
+        return F.col("w") * F.lit(Decimal(left)).cast("decimal(20,0)") > F.col("cap") * F.lit(Decimal(weight)).cast("decimal(14,0)")
+
+    while weight:
+        capped, rest = (int(x or 0) for x in table.agg(F.sum(F.when(full(left, weight), F.col("cap"))), F.sum(F.when(~full(left, weight), F.col("w")))).first())
+        if (total - capped, rest) == (left, weight):
+            break
+        left, weight = total - capped, rest
+    share = (F.col("w") * F.lit(Decimal(left)).cast("decimal(20,0)")).cast("double") / F.lit(float(weight)) if weight else F.lit(0.0)
+    target = F.when(full(left, weight), F.col("cap").cast("double")).otherwise(share)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
+    return table.select("source", "source_size", target.alias("target"), u.alias("u"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
@@ -44,20 +75,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words taken come near the target. No document is taken over ``most`` times. The sum is the rate times the rank:
     ranks come from range partitions, each counted and numbered on its own, so no source meets in one task. Reruns
     agree. Null text has size 0, null sources form one source, null or repeated identifiers are numbered in order.
-    A source without words takes nothing. An empty table gives an empty result.
+    A source without words takes nothing. Sources may be as many as the documents: nothing about
+    them is gathered. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
     rows = scratch.table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    got = sums.limit(MAX_SOURCES + 1).collect()
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    if not got:
-        return rows.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
-    want = targets([(r["source"], r["source_size"]) for r in got], weights, most)
-    plan = spark.createDataFrame([(r["source"], r["source_size"], want[r["source"]], offset(r["source"], seed)) for r in got], "source string, source_size long, target double, u double")
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = target_table(sums, scratch, weights, most, seed)
     order = ["source", "size", "doc_id"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = scratch.table(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
@@ -65,8 +91,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # One row per source and range at most: ranges are few, and each holds few sources or lies in one.
     before = counts.select("source", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id")).cast("long"))
-    joined = ranked.alias("r").join(before.alias("b"), (F.col("r.part") == F.col("b.part")) & F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.*", "b.before")
-    joined = joined.alias("r").join(F.broadcast(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.*", "p.source_size", "p.target", "p.u")
+    # What a source's rows need is joined to its one row a range first, so a large source's rows stay dealt over ranges.
+    each = before.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.*", "p.source_size", "p.target", "p.u")
+    joined = ranked.alias("r").join(each.alias("b"), (F.col("r.part") == F.col("b.part")) & F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.*", "b.before", "b.source_size", "b.target", "b.u")
     rank = F.col("before") + F.col("k")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(F.col("u") + rate * rank) - F.floor(F.col("u") + rate * (rank - 1))).cast("long")
