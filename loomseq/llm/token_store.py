@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import Scratch, documents
@@ -19,6 +19,8 @@ END_ID = 0
 MAGIC = b"LMSHARD1"
 #: Mean keys in a bucket of the hash index; each bucket keeps one 32-bit seed.
 BUCKET = 4
+#: Most tasks that read shards; each reads one after the other.
+READERS = 10_000
 MANIFEST = "shard long, path string, docs long, ids long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -157,12 +159,11 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
         def flush():
             nonlocal doc_ids, counts, ids, held, number
             shard = (task.partitionId() << 20) + number
-            final = f"{root}/{shard:016d}.shard"
-            draft = f"{final}.{task.taskAttemptId()}"
-            with files.open_output_stream(draft) as f:
+            # Every attempt has a file of its own; the manifest, which Spark commits once a task, lists those that count.
+            final = f"{root}/{shard:016d}-{task.taskAttemptId()}.shard"
+            with files.open_output_stream(final) as f:
                 for part in shard_bytes(doc_ids, np.array(counts, np.int64), ids, wide):
                     f.write(part)
-            files.move(draft, final)  # an attempt's whole file takes the name, so a lost or repeated task does no harm
             out.append((shard, final, len(doc_ids), held))
             doc_ids, counts, ids, held, number = [], [], [], 0, number + 1
 
@@ -223,19 +224,19 @@ def store(docs: DataFrame, folder: str | None = None, **how) -> DataFrame:
 
     ``start`` counts the ids of all documents before it. Null texts are empty: just the end id. Null and repeated
     identifiers keep a record each; a repeated one is told apart by its number among its rows in the shard. An empty
-    table gives no shards and no rows. Other columns are not read. The driver holds one line per shard.
+    table gives no shards and no rows. Other columns are not read. The manifest tells which files of the folder count; a
+    repeated attempt's file may lie beside them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-store")
     folder = folder or f"{scratch.path}/shards"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    shards = sorted(scratch.table(write_shards(docs, folder, **how), "manifest").collect(), key=lambda r: r["shard"])
-    rows, before = [], 0
-    for r in shards:
-        rows.append((r["shard"], r["path"], before))
-        before += r["ids"]
-    listed = spark.createDataFrame(rows, "shard long, path string, before long").repartition(max(1, len(rows)))
+    shards = scratch.table(write_shards(docs, folder, **how), "manifest")
+    n = shards.count()
+    # One row a shard, of many million ids: a sum along them is little work for the one task that it takes.
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = shards.select("shard", "path", before.alias("before")).repartition(min(max(1, n), READERS))
     return listed.mapInArrow(frugal(_reader(folder)), RESULT)
 
 
