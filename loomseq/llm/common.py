@@ -19,9 +19,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a folder made here."""
+    """The folder in spark.checkpoint.dir; where that is unset and the master is local, as in tests, a folder made here. On a cluster it has to be set: a folder of one machine would be another one on the next."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = _own.setdefault(spark.sparkContext.applicationId, "")
         if not found:
             found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomseq-")
