@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 import time
 
@@ -39,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--cfd-weights", help="file of mismatch weights by rX:dY,place")
         p.add_argument("--output", default=".", help="folder for the reports")
         p.add_argument("--output-prefix")
+        p.add_argument("--log-dir", help="folder for three logs: run.log, verbose.log and error.log")
         p.add_argument("--threads", type=int, default=0, help="local cores; 0: all. Ignored where a master is set")
         if name == "search":
             p.add_argument("--fasta", required=True, help="folder of .fa and .fasta files")
@@ -59,7 +61,8 @@ def checked(args: argparse.Namespace) -> Thresholds:
         raise ValueError("--max-edit-distance is over the sum of --mm, --bdna and --brna")
     if args.cluster_distance <= 0:
         raise ValueError("--cluster-distance has to be above 0")
-    parse_criteria(args.prioritization_criteria)
+    if "cfd" in parse_criteria(args.prioritization_criteria) and not args.cfd_weights:
+        raise ValueError("ranking by cfd needs --cfd-weights")
     if args.guide:
         guides([args.guide])
     if args.command == "search":
@@ -71,10 +74,39 @@ def checked(args: argparse.Namespace) -> Thresholds:
     return caps
 
 
+def log_files(folder: str) -> list[logging.Handler]:
+    """Handlers of three files: what a run tells, that with details, and errors."""
+    os.makedirs(folder, exist_ok=True)
+    made = []
+    for name, fits in (("run", lambda r: r.levelno == logging.INFO), ("verbose", lambda r: r.levelno <= logging.INFO), ("error", lambda r: r.levelno >= logging.ERROR)):
+        handler = logging.FileHandler(os.path.join(folder, f"{name}.log"), encoding="utf-8")
+        handler.addFilter(fits)
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        made.append(handler)
+    return made
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(levelname)s %(message)s", stream=sys.stderr)
+    handlers = log_files(args.log_dir) if args.log_dir else []
+    level = log.level
+    if handlers:
+        log.setLevel(logging.DEBUG)
+    for h in handlers:
+        log.addHandler(h)
+    try:
+        return run(args, spark)
+    finally:
+        log.setLevel(level)
+        for h in handlers:
+            log.removeHandler(h)
+            h.close()
+
+
+def run(args: argparse.Namespace, spark: SparkSession | None) -> int:
     began = time.time()
+    log.debug("%s", vars(args))
     try:
         caps = checked(args)
     except ValueError as e:

@@ -3,7 +3,7 @@
 A score is the weight of the PAM's last two bases times, over the first 20 aligned columns, the weight of each
 mismatch at its column. Gap columns and ambiguity codes weigh 1 but count as columns. The mismatch weights are a
 published table of 12 kinds of mismatch by 20 places; it is a parameter, read by ``read_weights`` from the file that
-the user has, and ``WEIGHTS_BY_RULE`` stands in where there is none.
+the user has. Without it only targets without a mismatch have a score, that of their PAM; others are null.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ Weights = dict[tuple[str, str, int], float]
 
 
 def weights_by_rule() -> Weights:
-    """A stand-in for the published table: mismatches near the PAM weigh less, transitions more than transversions."""
+    """A made-up table of the same shape for trials of the arithmetic, never used unless it is passed: mismatches near the PAM weigh less, transitions more than transversions."""
     purine = "AG"
     return {(g, t, i): round((0.9 if (g in purine) == (t in purine) else 0.7) * (1 - i / 25), 6) for g in "ACGT" for t in "ACGT" if g != t for i in range(COLUMNS)}
 
@@ -61,8 +61,8 @@ def read_weights(spark: SparkSession, path: str) -> Weights:
     return parse_weights(rows[0][0])
 
 
-def cfd(rguide: Column, rseq: Column, pam: Column, weights: Weights = WEIGHTS_BY_RULE, pam_weights: dict[str, float] = PAM_WEIGHTS) -> Column:
-    """CFD as a float; PAMs without a weight score 0, missing mismatch weights count 1. Case does not matter, U is T.
+def cfd(rguide: Column, rseq: Column, pam: Column, weights: Weights | None, pam_weights: dict[str, float] = PAM_WEIGHTS) -> Column:
+    """CFD as a float, without weights null wherever it would need one; PAMs without a weight score 0, missing mismatch weights count 1. Case does not matter, U is T.
 
     For each column there is one lookup in a constant map whose key is the pair of bases, so the whole score is one
     codegen-friendly product without a shuffle, a join or Python.
@@ -70,6 +70,12 @@ def cfd(rguide: Column, rseq: Column, pam: Column, weights: Weights = WEIGHTS_BY
     g, t = (F.translate(F.upper(x), "U", "T") for x in (rguide, rseq))
     last_two = F.translate(F.upper(F.right(pam, F.lit(2))), "U", "T")
     score = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, w in pam_weights.items() for x in (k, float(w))]), last_two), F.lit(0.0))
+    if not weights:
+        needed = F.lit(False)
+        for i in range(COLUMNS):
+            a, b = F.substring(g, i + 1, 1), F.substring(t, i + 1, 1)
+            needed = needed | ((a != b) & a.isin(*"ACGT") & b.isin(*"ACGT"))
+        return F.when(~needed, score).cast("float")
     for i in range(COLUMNS):
         own = {a + b: w for (a, b, k), w in weights.items() if k == i and a != b}
         if own:
@@ -79,5 +85,5 @@ def cfd(rguide: Column, rseq: Column, pam: Column, weights: Weights = WEIGHTS_BY
     return score.cast("float")
 
 
-def weights_table(spark: SparkSession, weights: Weights = WEIGHTS_BY_RULE) -> DataFrame:
+def weights_table(spark: SparkSession, weights: Weights) -> DataFrame:
     return spark.createDataFrame([(g, t, i, w) for (g, t, i), w in sorted(weights.items())], "guide_base string, target_base string, place int, weight double")

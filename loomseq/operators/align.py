@@ -167,3 +167,46 @@ def hamming(windows: DataFrame, guide: str, column: str = "protospacer", max_mm:
     mm = sum((F.when(F.substring(own, i + 1, 1) == c, 0).otherwise(1) for i, c in enumerate(guide)), F.lit(0))
     out = windows.withColumn("mm", mm.cast("int"))
     return out if max_mm is None else out.where(F.col("mm") <= max_mm)
+
+
+#: Fixed value: the distance of a window that has an N.
+INVALID = 200
+
+
+def free_end_distance(windows: DataFrame, guide: str, column: str = "protospacer") -> DataFrame:
+    """``column, distance``: the least edits that turn the whole guide into any part of each window; INVALID for windows with an N.
+
+    Bases before and after the part are free; a base too many, one too few and a pair without a common code cost one
+    each. All windows of a batch go through the table of guide by window at once. Null windows have a null distance,
+    empty ones the guide's length.
+    """
+    codes = MASKS[np.frombuffer(guide.encode(), np.uint8)]
+
+    def distances(w: np.ndarray) -> np.ndarray:
+        masks = MASKS[w]
+        column_before = np.broadcast_to(np.arange(len(codes) + 1, dtype=np.int16), (len(w), len(codes) + 1)).copy()
+        best = column_before[:, -1].copy()
+        for t in range(w.shape[1]):
+            now = np.zeros_like(column_before)
+            for q in range(len(codes)):
+                pair = column_before[:, q] + ((masks[:, t] & codes[q]) == 0)
+                now[:, q + 1] = np.minimum(np.minimum(now[:, q], column_before[:, q + 1]) + 1, pair)
+            best = np.minimum(best, now[:, -1])
+            column_before = now
+        return np.where((w == ord("N")).any(1) | (w == ord("n")).any(1), INVALID, best)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            values = b.column(0)
+            lengths = pc.binary_length(values)
+            out = np.zeros(b.num_rows, np.int32)
+            for k in pc.unique(lengths.drop_null()).to_pylist():
+                at = np.flatnonzero(pc.equal(lengths, k).fill_null(False).to_numpy(zero_copy_only=False))
+                out[at] = distances(matrix_of(values.take(pa.array(at)))) if k else len(codes)
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([values, pa.array(out, mask=~known)], names=[column, "distance"])
+
+    return windows.select(F.col(column)).mapInArrow(run, f"`{column}` string, distance int")

@@ -14,43 +14,53 @@ from loomseq.operators.stored import stored
 BIN = 1 << 20
 
 
-def single_linkage(rows: DataFrame, keys: list[str], position: str, gap: int, bin_width: int = BIN) -> DataFrame:
+def single_linkage(rows: DataFrame, keys: list[str], position: str, gap: int, bin_width: int = BIN, unique: bool = False, kind: str | None = None) -> DataFrame:
     """``rows`` with ``cluster_start`` (the cluster's first position) and ``cluster_no`` (from 0 within the keys).
 
     Sorted by position, a row joins the cluster of the one before if it is at most ``gap`` away. Only distinct
     positions are sorted, in bins of ``bin_width``, so neither a long contig nor a crowded place makes one task's work;
     what a bin needs from those before it, its last position and number of clusters, comes from one row per bin.
     Keys may be null, which is a key like any other; a null position makes a cluster of its own with null start.
+    ``unique``: the keys have each position (and ``kind``) once, so rows are sorted themselves and not joined back.
+    ``kind``, for unique rows: a column by which equal positions are ordered, and whose every change also ends a
+    cluster.
     """
-    same = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    if kind and not unique:
+        raise ValueError("kinds need unique rows")
     ks = [f"_k{i}" for i in range(len(keys))]
-    places = rows.select(*same, F.col(position).cast("long").alias("_p")).where("_p is not null").distinct().withColumn("_b", F.floor(F.col("_p") / bin_width))
-    bins = places.groupBy(*ks, "_b").agg(F.max("_p").alias("_max"))
+    own = [F.col(k).alias(x) for k, x in zip(keys, ks, strict=True)]
+    at = [F.col(position).cast("long").alias("_p"), (F.col(kind) if kind else F.lit(0)).alias("_a")]
+    places = rows.where(F.col(position).isNotNull()).select(*([c for c in rows.columns] if unique else []), *own, *at)
+    places = (places if unique else places.distinct()).withColumn("_b", F.floor(F.col("_p") / bin_width))
+    here = F.struct("_p", "_a")
+    bins = places.groupBy(*ks, "_b").agg(F.max(here).alias("_max"))
     before = Window.partitionBy(*ks).orderBy("_b")
     last = bins.select(*ks, "_b", F.lag("_max").over(before).alias("_last"))
 
     def match(a: str, b: str, cols: list[str]) -> Column:
-        out = F.lit(True)
+        out = F.col(f"{a}._b") == F.col(f"{b}._b")
         for c in cols:
             out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
         return out
 
-    placed = places.alias("x").join(last.alias("y"), match("x", "y", ks) & (F.col("x._b") == F.col("y._b"))).select("x.*", "y._last")
-    within = Window.partitionBy(*ks, "_b").orderBy("_p")
-    prev = F.coalesce(F.lag("_p").over(within), F.col("_last"))
-    begun = placed.withColumn("_new", F.when(prev.isNull() | (F.col("_p") - prev > gap), 1).otherwise(0))
-    local = begun.select(*ks, "_b", "_p", F.sum("_new").over(within).alias("_n"), F.max(F.when(F.col("_new") == 1, F.col("_p"))).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    placed = places.alias("x").join(last.alias("y"), match("x", "y", ks)).select("x.*", "y._last")
+    within = Window.partitionBy(*ks, "_b").orderBy("_p", "_a")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    prev = F.coalesce(F.lag(here).over(within), F.col("_last"))
+    begun = placed.withColumn("_prev", prev).withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_p") - F.col("_prev._p") > gap) | (F.col("_prev._a") != F.col("_a")), 1).otherwise(0))
+    local = begun.withColumn("_n", F.sum("_new").over(upto)).withColumn("_s", F.max(F.when(F.col("_new") == 1, F.col("_p"))).over(upto))
     sums = local.groupBy(*ks, "_b").agg(F.max("_n").alias("_total"), F.max("_s").alias("_open"))
-    upto = before.rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*ks, "_b", F.coalesce(F.sum("_total").over(upto), F.lit(0)).alias("_offset"), F.max("_open").over(upto).alias("_carry"))
-    numbered = (
-        local.alias("x")
-        .join(carried.alias("y"), match("x", "y", ks) & (F.col("x._b") == F.col("y._b")))
-        .select(*[F.col(f"x.{k}").alias(k) for k in ks], F.col("x._p").alias("_p"), F.coalesce("x._s", "y._carry").alias("cluster_start"), (F.col("x._n") + F.col("y._offset") - 1).cast("long").alias("cluster_no"))
-    )
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*ks, "_b", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"), F.max("_open").over(earlier).alias("_carry"))
+    joined = local.alias("x").join(carried.alias("y"), match("x", "y", ks))
+    found = [F.coalesce("x._s", "y._carry").alias("cluster_start"), (F.col("x._n") + F.col("y._offset") - 1).cast("long").alias("cluster_no")]
+    if unique:
+        none = rows.where(F.col(position).isNull()).select("*", F.lit(None).cast("long").alias("cluster_start"), F.lit(None).cast("long").alias("cluster_no"))
+        return joined.select(*[F.col(f"x.`{c}`").alias(c) for c in rows.columns], *found).unionByName(none)
+    numbered = joined.select(*[F.col(f"x.{k}").alias(k) for k in ks], F.col("x._p").alias("_p"), *found)
     on = F.col(position).cast("long") == F.col("_p")
-    for k, own in zip(ks, keys, strict=True):
-        on = on & F.col(own).eqNullSafe(F.col(k))
+    for k, name in zip(ks, keys, strict=True):
+        on = on & F.col(name).eqNullSafe(F.col(k))
     return rows.join(numbered, on, "left").select(*rows.columns, "cluster_start", "cluster_no")
 
 
@@ -91,13 +101,15 @@ def line(columns: list[str]) -> Column:
 def split_primary(rows: DataFrame, cluster: list[str], order: list[Column], columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(primary, alternative): the first row of each cluster by ``order``, then by start and the whole line; and all other rows.
 
-    The first row is a grouped minimum, which partial sums make cheap however many rows a cluster has; the others are
-    the multiset difference, so rows that repeat stay as often as they should. Together they are ``rows``.
+    Rows are stored with a number each. The first row is a grouped minimum, which partial sums make cheap however many
+    rows a cluster has; the others are those whose number it doesn't have, so rows that repeat stay as often as they
+    should. Together they are ``rows``.
     """
     columns = columns or rows.columns
-    whole = F.struct(*[x.alias(f"_o{i}") for i, x in enumerate([*order, F.col("start"), line([c for c in columns if c not in cluster])])], F.struct(*[F.col(c) for c in columns]).alias("_row"))
-    primary = rows.groupBy(*[F.col(c) for c in cluster]).agg(F.min(whole).alias("_m")).select("_m._row.*")
-    return primary, rows.select(*columns).exceptAll(primary)
+    rows = stored(rows.withColumn("_no", F.monotonically_increasing_id()), "numbered")
+    ranks = [x.alias(f"_o{i}") for i, x in enumerate([*order, F.col("start"), line([c for c in columns if c not in cluster]), F.col("_no")])]
+    best = stored(rows.groupBy(*[F.col(c) for c in cluster]).agg(F.min(F.struct(*ranks, F.struct(*[F.col(c) for c in columns]).alias("_row"))).alias("_m")).select(F.col(f"_m._o{len(ranks) - 1}").alias("_no"), "_m._row"), "primary")
+    return best.select("_row.*"), rows.join(best.select("_no"), "_no", "left_anti").select(*columns)
 
 
 def partition_report(report: DataFrame, distance: int = 3, criteria: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +117,7 @@ def partition_report(report: DataFrame, distance: int = 3, criteria: list[str] |
     if distance <= 0:
         raise ValueError("the cluster distance has to be above 0")
     columns = report.columns
-    clustered = stored(single_linkage(stored(report, "report"), ["chromosome", "strand"], "start", distance), "clustered")
+    clustered = single_linkage(stored(report, "report"), ["chromosome", "strand"], "start", distance)
     primary, alternative = split_primary(clustered, ["chromosome", "strand", "cluster_start"], ranking(criteria))
     return primary.select(*columns), alternative.select(*columns)
 

@@ -1,7 +1,7 @@
 """Interval joins: overlap of two interval tables, and points in intervals, half-open and from 0.
 
 Each interval is filed on the level of bins that fits its length (bins of 4**level bases), so it lies in at most two
-bins of its level whatever its length; a probe looks at every level that the table has. The join is an equi-join on
+bins of its level whatever its length; a probe looks at those levels alone that the table has. The join is an equi-join on
 (contig, level, bin) with the exact condition on top: no nested loop, and no contig or long interval makes one task's
 work.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.operators.stored import stored
+
 FIRST_LEVEL, LAST_LEVEL = 3, 18  # bins from 64 bases to 4**18, more than any contig has
 
 
@@ -33,10 +35,17 @@ def file_intervals(table: DataFrame, start: str, end: str) -> DataFrame:
     return leveled.withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), _width(F.col("_level")))))
 
 
-def probe_intervals(probes: DataFrame, start: str, end: str) -> DataFrame:
-    """``probes`` with ``_level`` and ``_bin`` for each bin of each level that they touch."""
-    levels = probes.where(F.col(end) > F.col(start)).withColumn("_level", F.explode(F.sequence(F.lit(FIRST_LEVEL), F.lit(LAST_LEVEL))))
-    return levels.withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), _width(F.col("_level")))))
+def _filed(table: DataFrame, start: str, end: str) -> tuple[DataFrame, Column]:
+    """The filed table, stored, and the array of the levels that occur in it, at most LAST_LEVEL of them."""
+    filed = stored(file_intervals(table, start, end), "intervals")
+    levels = sorted(r["_level"] for r in filed.select("_level").distinct().collect())
+    return filed, F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+
+
+def probe_intervals(probes: DataFrame, start: str, end: str, levels: Column) -> DataFrame:
+    """``probes`` with ``_level`` and ``_bin`` for each bin that they touch of each of ``levels``."""
+    leveled = probes.where(F.col(end) > F.col(start)).withColumn("_level", F.explode(levels))
+    return leveled.withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), _width(F.col("_level")))))
 
 
 def overlap_join(probes: DataFrame, table: DataFrame, on: tuple[str, str], probe: tuple[str, str], interval: tuple[str, str], how: str = "inner") -> DataFrame:
@@ -46,8 +55,8 @@ def overlap_join(probes: DataFrame, table: DataFrame, on: tuple[str, str], probe
     counts in the first alone. ``how``: inner, or left_semi for the probes that overlap anything.
     """
     (pc, tc), (ps, pe), (ts, te) = on, probe, interval
-    p = probe_intervals(probes, ps, pe).withColumnsRenamed({"_level": "_plevel", "_bin": "_pbin"})
-    t = file_intervals(table, ts, te)
+    t, levels = _filed(table, ts, te)
+    p = probe_intervals(probes, ps, pe, levels).withColumnsRenamed({"_level": "_plevel", "_bin": "_pbin"})
     width = _width(F.col("_level"))
     first = F.greatest(F.floor(F.col(ps) / width), F.floor(F.col(ts) / width))
     meets = (F.col(pc) == F.col(tc)) & (F.col("_plevel") == F.col("_level")) & (F.col("_pbin") == F.col("_bin")) & (F.col(ts) < F.col(pe)) & (F.col(te) > F.col(ps))
@@ -60,7 +69,7 @@ def overlap_join(probes: DataFrame, table: DataFrame, on: tuple[str, str], probe
 def point_join(points: DataFrame, table: DataFrame, on: tuple[str, str], point: str, interval: tuple[str, str]) -> DataFrame:
     """Rows of ``points`` with each row of ``table`` whose interval holds the point."""
     (pc, tc), (ts, te) = on, interval
-    p = points.withColumn("_plevel", F.explode(F.sequence(F.lit(FIRST_LEVEL), F.lit(LAST_LEVEL)))).withColumn("_pbin", F.floor(F.col(point) / _width(F.col("_plevel"))))
-    t = file_intervals(table, ts, te)
+    t, levels = _filed(table, ts, te)
+    p = points.withColumn("_plevel", F.explode(levels)).withColumn("_pbin", F.floor(F.col(point) / _width(F.col("_plevel"))))
     holds = (F.col(pc) == F.col(tc)) & (F.col("_plevel") == F.col("_level")) & (F.col("_pbin") == F.col("_bin")) & (F.col(point) >= F.col(ts)) & (F.col(point) < F.col(te))
     return p.join(t, holds, "inner").drop("_level", "_bin", "_plevel", "_pbin")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions.alphabet import flip_strand
@@ -49,17 +49,16 @@ def presence_rows(lifted: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def _fold(rows: DataFrame, keys: list[str], distance: int, criteria: list[str], adjacent_only: bool) -> DataFrame:
-    """``rows`` with ``_group``, the struct that names a row's cluster."""
-    own = ["space", "chromosome", "strand", "target_aligned"]
+_OWN = ["space", "chromosome", "strand", "target_aligned"]
+
+
+def _cluster(rows: DataFrame, keys: list[str], distance: int, adjacent_only: bool, unique: bool) -> DataFrame:
+    """``rows`` with ``cluster_start``; with the keys and an allele's own columns it names a row's cluster."""
     if adjacent_only:
-        order = Window.partitionBy(*keys, "space", "chromosome", "strand").orderBy("start", "target_aligned", line([c for c in rows.columns if c not in ("_presence",)]))
-        prev_start, prev_allele = F.lag("start").over(order), F.lag("target_aligned").over(order)
-        fresh = F.when(prev_start.isNull() | (prev_allele != F.col("target_aligned")) | (F.col("start") - prev_start > distance), 1).otherwise(0)
-        numbered = rows.withColumn("_new", fresh).withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return numbered.withColumn("_group", F.struct(*keys, *own, F.col("_no").cast("long").alias("at"))).drop("_new", "_no")
-    clustered = single_linkage(rows, [*keys, *own], "start", distance)
-    return clustered.withColumn("_group", F.struct(*keys, *own, F.col("cluster_start").alias("at"))).drop("cluster_start", "cluster_no")
+        linked = single_linkage(rows, [*keys, *_OWN[:-1]], "start", distance, unique=True, kind=_OWN[-1])
+    else:
+        linked = single_linkage(rows, [*keys, *_OWN], "start", distance, unique=unique)
+    return linked.drop("cluster_no")
 
 
 def _representative(rows: DataFrame, columns: list[str], criteria: list[str]) -> Column:
@@ -71,13 +70,16 @@ def merge_sample(rows: DataFrame, distance: int = 3, criteria: list[str] | None
     """One row per cluster within each sample: the best row, the OR of its annotations, and ``mask``, the sample's copies.
 
     A cluster is of one sample, space, contig, strand and allele, each start at most ``distance`` from the one before.
-    ``adjacent_only``: another allele in between also ends a cluster.
+    ``adjacent_only``: another allele in between also ends a cluster. Rows of one allele at one start are folded
+    before they are linked, so a crowded place is a row a sample.
     """
     criteria = criteria or DEFAULT_CRITERIA
     columns = [c for c in rows.columns if c not in ("mask", "annotation", "sample_id", "sample", "ploidy")]
-    grouped = _fold(rows, ["sample_id"], distance, criteria, adjacent_only)
-    folded = grouped.groupBy("_group").agg(_representative(rows, columns, criteria), F.bit_or("mask").alias("mask"), F.first("sample").alias("sample"), F.first("ploidy").alias("ploidy"), *([F.bit_or("annotation").alias("annotation")] if "annotation" in rows.columns else []))
-    return folded.select("_m._row.*", F.col("_group.sample_id").alias("sample_id"), "sample", "ploidy", "mask", *(["annotation"] if "annotation" in rows.columns else []))
+    rest = [F.bit_or("mask").alias("mask"), F.first("sample").alias("sample"), F.first("ploidy").alias("ploidy"), *([F.bit_or("annotation").alias("annotation")] if "annotation" in rows.columns else [])]
+    places = rows.groupBy("sample_id", *_OWN, "start").agg(_representative(rows, columns, criteria), *rest)
+    linked = _cluster(places, ["sample_id"], distance, adjacent_only, True)
+    folded = linked.groupBy("sample_id", *_OWN, "cluster_start").agg(F.min("_m").alias("_m"), *rest)
+    return folded.select("_m._row.*", "sample_id", "sample", "ploidy", "mask", *(["annotation"] if "annotation" in rows.columns else []))
 
 
 def render_presence(mask: Column, ploidy: Column) -> Column:
@@ -94,9 +96,17 @@ def merge_global(per_sample: DataFrame, distance: int = 3, criteria: list[str] |
     criteria = criteria or DEFAULT_CRITERIA
     columns = [c for c in per_sample.columns if c not in ("mask", "annotation", "sample_id", "sample", "ploidy")]
     extra = [F.bit_or("annotation").alias("annotation")] if "annotation" in per_sample.columns else []
-    grouped = _fold(per_sample, [], distance, criteria, adjacent_only)
-    each = grouped.groupBy("_group", "sample_id").agg(_representative(per_sample, columns, criteria), F.bit_or("mask").alias("mask"), F.first("sample").alias("sample"), F.first("ploidy").alias("ploidy"), *extra)
-    whole = each.groupBy("_group").agg(F.min("_m").alias("_m"), F.array_sort(F.collect_list(F.struct("sample_id", "sample", "mask", "ploidy"))).alias("presence"), *extra)
+    if adjacent_only:  # another sample's allele in between counts too, so places are linked, then looked up by each sample's row
+        places = stored(per_sample.select(*_OWN, "start").distinct(), "places")
+        starts = _cluster(places, [], distance, True, True).withColumnsRenamed({c: f"_{c}" for c in (*_OWN, "start")})
+        same = F.col("start") == F.col("_start")
+        for c in _OWN:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        grouped = per_sample.join(starts, same)
+    else:
+        grouped = _cluster(per_sample, [], distance, False, False)
+    each = grouped.groupBy(*_OWN, "cluster_start", "sample_id").agg(_representative(per_sample, columns, criteria), F.bit_or("mask").alias("mask"), F.first("sample").alias("sample"), F.first("ploidy").alias("ploidy"), *extra)
+    whole = each.groupBy(*_OWN, "cluster_start").agg(F.min("_m").alias("_m"), F.array_sort(F.collect_list(F.struct("sample_id", "sample", "mask", "ploidy"))).alias("presence"), *extra)
     return whole.select("_m._row.*", "presence", *(["annotation"] if extra else []))
 
 

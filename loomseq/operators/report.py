@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions.alphabet import bulge_type, cas_system, check, edit_distance
-from loomseq.functions.cfd import PAM_WEIGHTS, WEIGHTS_BY_RULE, Weights, cfd
+from loomseq.functions.cfd import PAM_WEIGHTS, Weights, cfd
 from loomseq.schemas import MAX_ANNOTATIONS, REPORT, SCORES, report_schema
 
 
@@ -14,8 +14,8 @@ def report(hits: DataFrame, pam: str, upstream: bool = False, weights: Weights |
     """A row of the report for each hit (``contig, strand, pos, window, rguide, rseq, offset, mm, bdna, brna``).
 
     ``start`` is from 1: where the target, with its PAM, begins on the forward strand. The guide's column has the PAM
-    as given, the target's the PAM as found. CFD is computed for PAMs of SpCas9 and xCas9, with the table given or
-    its stand-in; the other scores have no definition and are null.
+    as given, the target's the PAM as found. CFD is computed for PAMs of SpCas9 and xCas9; without a table of weights
+    it is null for targets with a mismatch. The other scores have no definition and are null.
     """
     pam = check(pam)
     found = F.left(F.col("window"), F.lit(len(pam))) if upstream else F.right(F.col("window"), F.lit(len(pam)))
@@ -26,7 +26,7 @@ def report(hits: DataFrame, pam: str, upstream: bool = False, weights: Weights |
         return F.concat(motif, aligned) if upstream else F.concat(aligned, motif)
 
     scored = cas_system(pam, upstream) in ("SpCas9", "xCas9")
-    score = cfd(F.col("rguide"), F.col("rseq"), found, weights or WEIGHTS_BY_RULE, pam_weights) if scored else F.lit(None).cast("float")
+    score = cfd(F.col("rguide"), F.col("rseq"), found, weights, pam_weights) if scored else F.lit(None).cast("float")
     return hits.select(
         F.col("contig").alias("chromosome"),
         start.cast("long").alias("start"),

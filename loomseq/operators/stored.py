@@ -13,9 +13,11 @@ _local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as on one machine, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; where it is unset, and the master is local, a temporary folder of this machine. On a cluster that would be another one on every machine, so there it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="loomseq-")
@@ -29,10 +31,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written to it goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from Parquet; the files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseq.plans import genome, relational
+from loomseq.plans import files, genome, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = genome.QUERIES | relational.QUERIES
-ORACLE_SQL: dict[str, str] = genome.ORACLE_SQL | relational.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = genome.QUERIES | files.QUERIES | relational.QUERIES
+ORACLE_SQL: dict[str, str] = genome.ORACLE_SQL | files.ORACLE_SQL | relational.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions.alphabet import mutation_score, n_count, pam_variants_table, reverse_complement
-from loomseq.functions.cfd import PAM_WEIGHTS
+from loomseq.functions.cfd import PAM_WEIGHTS, WEIGHTS_BY_RULE
 from loomseq.operators.align import Thresholds, align, hamming
 from loomseq.operators.annotate import annotate
 from loomseq.operators.cluster import partition_report, single_linkage
@@ -45,7 +45,7 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(_contigs(spark, sf_dir), GUIDES, PAM, Thresholds(MM))
+    return search(_contigs(spark, sf_dir), GUIDES, PAM, Thresholds(MM), weights=WEIGHTS_BY_RULE)  # a table of weights made for trials, which SQL can compute too
 
 
 # --- scan, alignment, report ---
@@ -119,7 +119,7 @@ def primary_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_primary_bulges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: both guides with bulges, scored, and the primary hit of each cluster."""
-    found = search(_contigs(spark, sf_dir), GUIDES, PAM, Thresholds(4, 1, 1))
+    found = search(_contigs(spark, sf_dir), GUIDES, PAM, Thresholds(4, 1, 1), weights=WEIGHTS_BY_RULE)
     return partition_report(found, 3, ["edit-dist", "cfd"])[0]
 
 
@@ -131,7 +131,7 @@ def pam_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = single_linkage(stored(_windows(spark, sf_dir), "windows"), ["contig", "strand"], "pos", 3)
+    clustered = single_linkage(stored(_windows(spark, sf_dir).select("contig", "strand", "pos"), "windows"), ["contig", "strand"], "pos", 3, unique=True)  # a strand has one window at a position
     return clustered.groupBy("contig", "strand", "cluster_start", "cluster_no").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("cluster_end"))
 
 
@@ -282,6 +282,31 @@ r AS (SELECT contig AS chromosome, pos + 1 AS start, strand, guide || 'NGG' AS "
              0 AS dna_bulges, 0 AS rna_bulges, 'X' AS bulge_type, mm AS edit_distance, {_CFD} AS "CFD_score", NULL::FLOAT AS "CRISTA_score", NULL::FLOAT AS "Elevation_score", NULL::FLOAT AS aggregate_score
       FROM m JOIN pw ON pw.two = substr("window", 22, 2) WHERE mm <= {MM})"""
 
+# All scripts with up to 4 mismatches, one DNA and one RNA bulge: each step of the recursion takes one more column.
+_BULGES = f"""{_scan_sql(24, "substr(seq, i + 22, 2) = 'GG'", "substr(seq, i, 2) = 'CC'")}, {_G},
+d AS (SELECT DISTINCT substr("window", 1, 21) AS protospacer FROM w),
+step(op) AS (VALUES ('M'), ('I'), ('D')),
+a(guide, protospacer, "offset", i, j, mm, bdna, brna, ops, rguide, rseq) AS (
+  SELECT guide, protospacer, o::INT, 0, o::INT, 0, 0, 0, '', '', '' FROM d, g, range(0, 3) t(o)
+  UNION ALL
+  SELECT guide, protospacer, "offset", i2, j2, mm2, bdna2, brna2, ops || CASE WHEN op <> 'M' THEN op WHEN mm2 > mm THEN 'X' ELSE '=' END,
+         rguide || CASE WHEN op = 'I' THEN '-' ELSE substr(guide, i2, 1) END, rseq || CASE WHEN op = 'D' THEN '-' WHEN mm2 > mm THEN lower(substr(protospacer, j2, 1)) ELSE substr(protospacer, j2, 1) END
+  FROM (SELECT *, mm + (op = 'M' AND substr(guide, i2, 1) <> substr(protospacer, j2, 1))::INT AS mm2
+        FROM (SELECT a.*, op, i + (op <> 'I')::INT AS i2, j + (op <> 'D')::INT AS j2, bdna + (op = 'I')::INT AS bdna2, brna + (op = 'D')::INT AS brna2 FROM a, step WHERE NOT (i = 20 AND j = 21) AND (op <> 'I' OR i > 0))
+        WHERE i2 <= 20 AND j2 <= 21 AND bdna2 <= 1 AND brna2 <= 1 AND i2 + 1 - j2 BETWEEN brna2 - 1 AND 1 - bdna2)
+  WHERE mm2 <= 4),
+al AS (SELECT guide, protospacer, "offset", ops, rguide, rseq, mm, bdna, brna FROM a WHERE i = 20 AND j = 21)"""
+_BULGE_CFD = """(pam_weight * list_product([CASE WHEN substr(rguide, k::BIGINT, 1) IN ('-', upper(substr(rseq, k::BIGINT, 1))) OR substr(rseq, k::BIGINT, 1) = '-' THEN 1.0::DOUBLE
+  ELSE round((CASE WHEN (substr(rguide, k::BIGINT, 1) IN ('A', 'G')) = (upper(substr(rseq, k::BIGINT, 1)) IN ('A', 'G')) THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END) * (1 - (k - 1)::DOUBLE / 25), 6) END for k in range(1, 21)]))::FLOAT"""
+_BULGE_REPORT = f"""{_BULGES},
+pw(two, pam_weight) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in PAM_WEIGHTS.items())}),
+r AS (SELECT contig AS chromosome, CASE WHEN strand = '+' THEN pos + "offset" ELSE pos END + 1 AS start, strand, rguide || 'NGG' AS "sgRNA_aligned", rseq || substr("window", 22, 3) AS target_aligned, mm AS mismatches,
+             bdna AS dna_bulges, brna AS rna_bulges, CASE WHEN bdna > 0 AND brna > 0 THEN 'DNA/RNA' WHEN bdna > 0 THEN 'DNA' WHEN brna > 0 THEN 'RNA' ELSE 'X' END AS bulge_type, mm + bdna + brna AS edit_distance, {_BULGE_CFD} AS "CFD_score"
+      FROM w JOIN al ON al.protospacer = substr("window", 1, 21) JOIN pw ON pw.two = substr("window", 23, 2)),
+f AS (SELECT chromosome, strand, start, CASE WHEN start - lag(start) OVER (PARTITION BY chromosome, strand ORDER BY start) <= 3 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT chromosome, strand, start FROM r)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY chromosome, strand ORDER BY start) AS no FROM f),
+o AS (SELECT r.*, row_number() OVER (PARTITION BY chromosome, strand, no ORDER BY edit_distance, "CFD_score" DESC NULLS LAST, target_aligned, start, "sgRNA_aligned", mismatches, dna_bulges, rna_bulges) AS rn FROM r JOIN k USING (chromosome, strand, start))"""
+
 _BLOCKS = """s AS (SELECT l_orderkey AS chain_id, l_linenumber::BIGINT AS step_no, max(floor(l_quantity))::BIGINT AS size FROM lineitem GROUP BY ALL),
 n AS (SELECT *, coalesce(sum(size + step_no) OVER b, 0)::BIGINT AS dt, coalesce(sum(size + 2 * step_no) OVER b, 0)::BIGINT AS dq FROM s
       WINDOW b AS (PARTITION BY chain_id ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -328,6 +353,9 @@ ORACLE_SQL = {
 SELECT guide, protospacer, array_to_string({_each(f"CASE WHEN {_SAME.format(p='protospacer')} THEN '=' ELSE 'X' END")}, '') AS ops, {_rseq("protospacer")} AS rseq, mm FROM m WHERE mm <= {MM}""",
     "hamming_filter": f"""WITH {_W}, d AS (SELECT DISTINCT substr("window", 1, 20) AS protospacer FROM w), m AS (SELECT protospacer, {_mm("protospacer")} AS mm FROM (SELECT *, '{GUIDES[0]}' AS guide FROM d)) SELECT protospacer, mm FROM m WHERE mm <= {MM}""",
     "occurrence_join": f'WITH {_W}, {_G}, m AS (SELECT *, {_mm(chr(34) + "window" + chr(34))} AS mm FROM w, g) SELECT contig, strand, pos, substr("window", 21, 3) AS pam, guide, mm FROM m WHERE mm <= {MM}',
+    "align_bulges": f"WITH RECURSIVE {_BULGES} SELECT * FROM al",
+    "search_primary_bulges": f"""WITH RECURSIVE {_BULGE_REPORT} SELECT chromosome, start::BIGINT AS start, strand, "sgRNA_aligned", target_aligned, mismatches, dna_bulges, rna_bulges, bulge_type, edit_distance,
+"CFD_score", NULL::FLOAT AS "CRISTA_score", NULL::FLOAT AS "Elevation_score", NULL::FLOAT AS aggregate_score FROM o WHERE rn = 1""",
     "search_report": f'WITH {_R} SELECT * REPLACE (round("CFD_score"::DOUBLE, 4) AS "CFD_score") FROM r',
     "search_rendered": f"""WITH {_R} SELECT chromosome, start::VARCHAR AS start, strand, "sgRNA_aligned", target_aligned, mismatches::VARCHAR AS mismatches, '0' AS dna_bulges, '0' AS rna_bulges, bulge_type, edit_distance::VARCHAR AS edit_distance,
 printf('%.2f', "CFD_score"::DOUBLE) AS "CFD_score", 'NA' AS "CRISTA_score", 'NA' AS "Elevation_score", 'NA' AS aggregate_score FROM r""",

@@ -17,12 +17,18 @@ def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = No
 
     Records are read by a splittable text scan whose separator is a line that begins with ``>``, so a file of many
     contigs is shared by many tasks. White space in sequences goes; letters that are no IUPAC code become N, or fail
-    if ``strict``. Files ending in .gz are read by Spark's codec.
+    if ``strict``. Files ending in .gz are read by Spark's codec. Those ending in .bgz, block-compressed, are unpacked
+    as a stream by a task each, one record in memory at a time; pyarrow has to know their file system.
     """
-    reader = spark.read.option("lineSep", "\n>")
+    reader, listing = spark.read.option("lineSep", "\n>"), spark.read.format("binaryFile")
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        reader, listing = (x.option("pathGlobFilter", glob) for x in (reader, listing))
+    name_of_file = F.col("_metadata.file_path").alias("file")
+    raw = reader.text(path).select("value", name_of_file)
+    packed = [f for f in raw.inputFiles() if f.endswith(".bgz")]
+    if packed:
+        files = listing.load(path).select(name_of_file).where(F.col("file").endswith(".bgz")).repartition(len(packed), "file")
+        raw = raw.where(~F.col("file").endswith(".bgz")).unionByName(files.mapInArrow(_unpack, "value string, file string"))
     text = F.regexp_replace("value", r"^\s*>", "")
     cut = F.instr(text, "\n")
     header = F.when(cut > 0, F.substring(text, F.lit(1), cut - 1)).otherwise(text)
@@ -31,6 +37,27 @@ def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = No
     return raw.where(F.trim(F.regexp_replace("value", r"[\s>]", "")) != "").select(name.alias("contig"), encode(F.regexp_replace(seq, r"\s+", ""), strict).alias("seq"), "file")
 
 
+def _unpack(batches):
+    """The records of block-compressed files, whose blocks are members of a gzip file, as the text scan gives them."""
+    import gzip
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for b in batches:
+        for name in b.column("file").to_pylist():
+            files, at = fs.FileSystem.from_uri(name)
+            with files.open_input_stream(at, compression=None) as packed, gzip.open(packed, "rt", encoding="utf-8", newline="\n") as text:
+                lines: list[str] = []
+                for line in text:
+                    if line.startswith(">") and lines:
+                        yield pa.RecordBatch.from_arrays([pa.array(["".join(lines)]), pa.array([name])], names=["value", "file"])
+                        lines = []
+                    lines.append(line)
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array(["".join(lines)]), pa.array([name])], names=["value", "file"])
+
+
 def check_contigs(contigs: DataFrame) -> DataFrame:
     """The same table, after a look for contig names that occur twice, are empty, or hold a tab or a line break: those are an error."""
     bad = contigs.groupBy("contig").count().where((F.col("count") > 1) | F.coalesce(F.col("contig") == "", F.lit(True)) | F.col("contig").rlike(r"[\t\r\n]")).limit(5).collect()

@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomseq.functions.alphabet import MASK, reverse_complement_text
 from loomseq.operators.align import Thresholds, align, align_matrix, hamming
 from loomseq.operators.scan import expand, protospacer, scan_windows, search_hits, window_statistics
+from loomseq.search import search
 
 GUIDE = "CTAACAGTTGCTTTTATCAC"
 
@@ -138,3 +140,43 @@ def test_all_combinations_of_scripts_are_distinct():
     assert sum(map(len, found.values())) == len(rows)
     for w in windows:
         assert found.get(w, set()) == brute("ACACA", w, Thresholds(2, 1, 1))
+
+
+def test_free_end_distance(spark):
+    from functools import lru_cache
+
+    from loomseq.operators.align import INVALID, free_end_distance
+
+    guide, rng = "ACGTRN", np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(1, 12, 80)] + ["", None, "ACNGT", "ACGTAC", "TTACGTATT", "acgtgg"]
+
+    def least(text):
+        if "N" in text:
+            return INVALID
+
+        @lru_cache(None)
+        def d(q, t):
+            if q == 0:
+                return 0
+            cost = [d(q - 1, t) + 1]
+            if t:
+                same = text[t - 1].upper() in {"R": "AG", "N": "ACGT"}.get(guide[q - 1], guide[q - 1])
+                cost += [d(q, t - 1) + 1, d(q - 1, t - 1) + (not same)]
+            return min(cost)
+
+        return min(d(len(guide), t) for t in range(len(text) + 1))
+
+    got = free_end_distance(spark.createDataFrame([(t, 1) for t in texts], "protospacer string, distance int"), guide).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((t, None if t is None else least(t)) for t in texts), key=repr)
+
+
+def test_counters(spark):
+    from loomseq.operators.metrics import Counters
+
+    counters = Counters()
+    contigs = spark.createDataFrame([("c", "ACGTACGTACGTTGG" * 3)], "contig string, seq string")
+    rows = search(contigs, "ACGTACGTACGT", "NGG", Thresholds(1), transforms=[counters.stage("found"), lambda r: r.where("mismatches = 0"), counters.stage("exact", last=F.max("start"))]).collect()
+    totals = counters.totals()
+    assert totals["exact"] == {"items": len(rows), "last": max(r["start"] for r in rows)} and totals["found"]["items"] >= len(rows) > 0
+    with pytest.raises(ValueError):
+        counters.stage("found")

@@ -130,6 +130,42 @@ def test_merge_adjacent_only_and_annotation(spark):
         sample_table(spark, {"a": [1, 1]})
 
 
+@pytest.mark.parametrize("adjacent_only", [False, True])
+def test_merge_by_hand(spark, adjacent_only):
+    """Clusters within samples, then over all, by plain loops."""
+    rng = np.random.default_rng(9)
+    given = [(f"HG{rng.integers(1, 3)}", int(rng.integers(1, 3)), 5, str(rng.choice(["A", "C"])), int(rng.integers(0, 3)), int(rng.integers(100, 160))) for _ in range(90)]
+
+    def runs(places):
+        """(allele, start) -> start of its cluster."""
+        out, last, open_at = {}, {}, {}
+        before = None
+        for start, allele in sorted(places):
+            broken = before is not None and before != allele and adjacent_only
+            if broken or allele not in last or start - last[allele] > 3 or (adjacent_only and start - prev > 3):
+                open_at[allele] = start
+            out[allele, start], last[allele], before, prev = open_at[allele], start, allele, start
+        return out
+
+    per = {}
+    for sample in ("HG1", "HG2"):
+        own = [r for r in given if r[0] == sample]
+        at = runs({(r[5], r[3]) for r in own})
+        for r in own:
+            best = per.setdefault((sample, r[3], at[r[3], r[5]]), [None, 0])
+            best[0] = min(best[0] or (r[4], r[5]), (r[4], r[5]))
+            best[1] |= 1 << sorted(LAYOUT[sample]).index(r[1])
+    at = runs({(best[0][1], allele) for (_, allele, _), best in per.items()})
+    whole = {}
+    for (sample, allele, _), (best, mask) in per.items():
+        x = whole.setdefault((allele, at[allele, best[1]]), [None, {}])
+        x[0] = min(x[0] or best, best)
+        x[1][sample] = x[1].get(sample, 0) | mask
+    want = sorted((a, x[0][1], x[0][0], ",".join(f"{s}:{m & 1}|{m >> 1 & 1}" for s, m in sorted(x[1].items()))) for (a, _), x in whole.items())
+    got = merge_assemblies(lifted(spark, given), sample_table(spark, LAYOUT), 3, adjacent_only=adjacent_only).collect()
+    assert sorted((r["target_aligned"], r["start"], r["mismatches"], r["samples"]) for r in got) == want
+
+
 def test_presence(spark):
     row = spark.range(1).select(render_presence(F.lit(10).cast("long"), F.lit(4)).alias("x")).first()
     assert row["x"] == "0|1|0|1"

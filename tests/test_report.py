@@ -68,6 +68,26 @@ def test_linkage_over_bins(spark, width):
     assert [r["cluster_start"] for r in got if r["p"] is None] == [None]
 
 
+@pytest.mark.parametrize("width", [1, 16, 1 << 20])
+def test_linkage_of_unique_rows_and_kinds(spark, width):
+    rng = np.random.default_rng(width)
+    rows = sorted({(k, int(p), str(a)) for k in ("a", None) for p, a in zip(rng.integers(0, 200, 80), rng.choice(list("xy"), 80), strict=True)}, key=repr) + [("a", None, "x")]
+    frame = spark.createDataFrame(rows, "k string, p long, a string")
+    got = single_linkage(frame, ["k"], "p", 3, width, unique=True, kind="a").collect()
+    assert len(got) == len(rows) and [r["cluster_start"] for r in got if r["p"] is None] == [None]
+    for k in ("a", None):
+        start, no, last, want = None, -1, None, {}
+        for p, a in sorted((p, a) for kk, p, a in rows if kk == k and p is not None):
+            if last is None or p - last[0] > 3 or a != last[1]:
+                start, no = p, no + 1
+            want[p, a], last = (start, no), (p, a)
+        assert {(r["p"], r["a"]): (r["cluster_start"], r["cluster_no"]) for r in got if r["k"] == k and r["p"] is not None} == want
+    once = frame.where("p is not null").dropDuplicates(["k", "p"])
+    assert sorted(single_linkage(once, ["k"], "p", 3, width, unique=True).collect(), key=repr) == sorted(single_linkage(once, ["k"], "p", 3, width).collect(), key=repr)
+    with pytest.raises(ValueError):
+        single_linkage(frame, ["k"], "p", 3, kind="a")
+
+
 def test_repeated_rows_and_criteria(spark):
     twice = frame(spark, FIXTURE + FIXTURE[:2])
     primary, alternative = partition_report(twice)
@@ -86,10 +106,60 @@ def test_repeated_rows_and_criteria(spark):
 
 def test_cfd(spark):
     rows = [("ACGTACGTACGTACGTACGT", "ACGTACGTACGTACGTACGT", "TGG"), ("ACGTACGTACGTACGTACGT", "AtGTACGTACGTACGTACGT", "AAG"), ("AC-TACGTACGTACGTACGT", "ACGTACGTACGTACGTACGa", "TGG"), ("ACGT", "ACRT", "TTT"), ("ACGT", "ACGT", "T")]
-    got = [r[0] for r in spark.createDataFrame(rows, "g string, t string, p string").select(cfd(F.col("g"), F.col("t"), F.col("p"))).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "g string, t string, p string").select(cfd(F.col("g"), F.col("t"), F.col("p"), WEIGHTS_BY_RULE)).collect()]
     want = [1.0, WEIGHTS_BY_RULE["C", "T", 1] * PAM_WEIGHTS["AG"], WEIGHTS_BY_RULE["T", "A", 19], 0.0, 0.0]
     assert got == pytest.approx(want, rel=1e-6)
-    assert weights_table(spark).count() == 240
+    assert weights_table(spark, WEIGHTS_BY_RULE).count() == 240
+    none = [r[0] for r in spark.createDataFrame(rows, "g string, t string, p string").select(cfd(F.col("g"), F.col("t"), F.col("p"), None)).collect()]
+    assert none == [1.0, None, None, 0.0, 0.0]
+
+
+def test_no_weights_no_score(spark):
+    contigs = spark.createDataFrame([("c", "CGAGCCTCTGCCAACATACATGG"), ("d", "CGAGCCTCTGCCTACATACATGG")], "contig string, seq string")
+    for weights, want in ((None, None), (WEIGHTS_BY_RULE, pytest.approx(WEIGHTS_BY_RULE["A", "T", 12]))):
+        scores = {r["chromosome"]: r["CFD_score"] for r in search(contigs, "CGAGCCTCTGCCAACATACA", "NGG", Thresholds(2), weights=weights).collect()}
+        assert scores == {"c": 1.0, "d": want}
+    assert cli.main(["search", "--fasta", "x", "--guide", "ACGT", "--pam", "NGG", "--mm", "1", "--output", "y", "--prioritization-criteria", "cfd"], spark) == 64
+
+
+def test_block_compressed_fasta(spark, tmp_path):
+    import gzip
+
+    with open(tmp_path / "a.fa.bgz", "wb") as f:  # blocks that cut lines, as bgzip does, and an empty last one
+        text = b">c1 one\nACGT\nACNN\n>c2\r\nTTTT\n>c3\n"
+        for k in range(0, len(text), 7):
+            f.write(gzip.compress(text[k : k + 7]))
+        f.write(gzip.compress(b""))
+    (tmp_path / "b.fa").write_text(">d1\nGGGG\n")
+    for glob, want in ((None, {"c1": "ACGTACNN", "c2": "TTTT", "c3": "", "d1": "GGGG"}), ("*.fa.bgz", {"c1": "ACGTACNN", "c2": "TTTT", "c3": ""})):
+        assert {r["contig"]: r["seq"] for r in read_fasta(spark, str(tmp_path), glob).collect()} == want
+
+
+def test_log_files(spark, tmp_path):
+    base = ["search", "--fasta", str(tmp_path / "none"), "--guide", "ACGT", "--pam", "NGG", "--output", str(tmp_path), "--log-dir", str(tmp_path / "logs")]
+    assert cli.main([*base, "--mm", "-1"], spark) == 64
+    assert "caps" in (tmp_path / "logs" / "error.log").read_text() and (tmp_path / "logs" / "run.log").read_text() == ""
+    assert "pam" in (tmp_path / "logs" / "verbose.log").read_text()
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from loomseq.operators.stored import shared_folder
+
+    nowhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda *_: None)))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(nowhere)
+
+
+def test_probes_look_at_present_levels_alone(spark):
+    from loomseq.operators.intervals import _filed, probe_intervals
+
+    table = spark.createDataFrame([("c", 0, 10), ("c", 5, 70), ("c", 9, 9)], "tc string, c long, d long")
+    filed, levels = _filed(table, "c", "d")
+    probes = spark.createDataFrame([("c", 0, 64)], "pc string, a long, b long")
+    assert sorted(r["_level"] for r in probe_intervals(probes, "a", "b", levels).collect()) == [3, 4]
+    assert overlap_join(probes, table.limit(0), ("pc", "tc"), ("a", "b"), ("c", "d")).count() == 0
 
 
 def test_weights_files(spark, tmp_path):
