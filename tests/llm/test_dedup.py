@@ -10,7 +10,7 @@ import pytest
 
 from loomseq.llm import queries
 from loomseq.llm.common import Scratch
-from loomseq.llm.exact_dedup import exact_dedup
+from loomseq.llm.exact_dedup import exact_dedup, merge_runs
 from loomseq.llm.line_dedup import line_dedup
 from loomseq.llm.near_dedup import agree, components, least_matches, near_duplicates, sketch
 
@@ -42,6 +42,20 @@ def test_exact_by_hand(spark, odd, fan_in):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("fan_in, rounds", [(2, 5), (3, 3), (8, 2)])
+def test_runs_are_merged_by_sort_aggregates(spark, fan_in, rounds):
+    rng = np.random.default_rng(fan_in)
+    rows = [(None if rng.random() < 0.1 else int(rng.integers(0, 500)), f"d{rng.integers(0, 40)}", int(rng.integers(0, 2)), 7, int(r)) for r in rng.integers(0, 20, 400)]
+    out = merge_runs(spark.createDataFrame(rows, "doc_id long, text_sha256 string, _n int, _x long, _run int"), 20, fan_in)
+    want = defaultdict(list)
+    for i, d, n, x, _ in rows:
+        want[d, n, x].append(i)
+    got = {(r["text_sha256"], r["_n"], r["_x"]): (r["keep_id"], r["group_size"]) for r in out.collect()}
+    assert got == {k: (min((i for i in v if i is not None), default=None), len(v)) for k, v in want.items()}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 2 * rounds and "HashAggregate" not in plan
+
+
 def test_empty(nothing):
     assert exact_dedup(nothing).count() == line_dedup(nothing).count() == near_duplicates(nothing).count() == 0
 
