@@ -15,13 +15,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _take(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``chosen`` (``_row_key, _rows, _copies``) names, ``_copies`` times. ``_rows`` tells how many are alike: of these, one is taken."""
+    """The rows of ``docs`` that ``chosen`` (``_row_key, _rows, _copies``) names, ``_copies`` times. ``_rows`` tells how many are alike: of these, one is taken.
+
+    ``chosen`` grows with ``docs``, so the joins are merge joins at every size, also where Spark would still broadcast it.
+    """
     spark = docs.sparkSession
     chosen = Scratch(spark, "chosen").table(chosen, "chosen")
     keyed, several = _keyed(docs), chosen.where("_rows > 1")
-    rows = keyed.join(chosen.where("_rows = 1"), "_row_key")
+    rows = keyed.join(chosen.where("_rows = 1").hint("merge"), "_row_key")
     if not several.isEmpty():
-        rows = rows.unionByName(keyed.join(several, "_row_key").dropDuplicates(["_row_key"]))
+        rows = rows.unionByName(keyed.join(several.hint("merge"), "_row_key").dropDuplicates(["_row_key"]))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
