@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import Scratch, documents, keyed_join
+from loomseq.llm.common import Scratch, documents
 from loomseq.llm.textnp import frugal, mix, shingles, slices, words
 
 SHINGLE = 5
@@ -24,7 +24,7 @@ MISS = 1e-4
 FIRST_TRIES = 8
 #: Rows of a bucket on either side of a cell, the unit in which sketches are compared.
 CELL = 1024
-#: Partners of a hub that are checked against it in one task's run of rows.
+#: Partners of the largest hub that a slice has, on average.
 SLICE = 256
 #: Documents whose identifiers (8 bytes each) may be broadcast to pick their texts; more go by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -351,13 +351,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("bands")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose full sets are similar enough. A hub's partners are cut into slices; its set travels once to each slice, and a slice is one task's work at most."""
+        """The pairs whose full sets are similar enough. A hub's partners are dealt to as many slices as the largest hub needs, and its set travels once to each that has any: never more often than it has partners."""
         ids = scratch.table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
         texts = _pick(plain.withColumnRenamed("doc_id", "id"), ids)
         sets = scratch.table(texts.mapInArrow(frugal(_texts_to_sets(shingle)), "id long, val binary"), f"{name}-sets")
-        per = scratch.table(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), f"{name}-hubs")
-        cut = keyed_join(pairs, per, ["a"], "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SLICE)).alias("slice"), "b")
-        cut = scratch.table(cut, f"{name}-cut")
+        most = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        cut = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(-(-most // SLICE))).alias("slice"), "b")
         hubs = cut.select("a", "slice").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "val")
         partners = cut.join(sets.withColumnRenamed("id", "b"), "b").select("a", "slice", "b", "val")
         dealt = hubs.unionByName(partners).repartition(parts, "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
