@@ -4,6 +4,9 @@ Each interval is filed on the level of bins that fits its length (bins of 4**lev
 bins of its level whatever its length; a probe looks at those levels alone that the table has. The join is an equi-join on
 (contig, level, bin) with the exact condition on top: no nested loop, and no contig or long interval makes one task's
 work.
+
+Where only a minimum or maximum over the intervals at a point is wanted, pairs need not be made: ``tiles`` cuts
+intervals into aligned ranges of 2**j bases, which are aggregated by themselves, and a point reads one row of each j.
 """
 
 from __future__ import annotations
@@ -73,3 +76,22 @@ def point_join(points: DataFrame, table: DataFrame, on: tuple[str, str], point:
     p = points.withColumn("_plevel", F.explode(levels)).withColumn("_pbin", F.floor(F.col(point) / _width(F.col("_plevel"))))
     holds = (F.col(pc) == F.col(tc)) & (F.col("_plevel") == F.col("_level")) & (F.col("_pbin") == F.col("_bin")) & (F.col(point) >= F.col(ts)) & (F.col(point) < F.col(te))
     return p.join(t, holds, "inner").drop("_level", "_bin", "_plevel", "_pbin")
+
+
+def reach(length: Column) -> Column:
+    """The largest j with 2**j <= length, or, for what rounding may do, one more."""
+    return F.floor(F.log2(length.cast("double")) + 1e-6).cast("int")
+
+
+def down(value: Column, by: Column) -> Column:
+    """floor(value / 2**by)."""
+    return F.call_function("shiftright", value, by)
+
+
+def tiles(table: DataFrame, start: str, end: str) -> DataFrame:
+    """``table`` with ``_j, _i``: one row for each of the aligned ranges [_i * 2**_j, (_i + 1) * 2**_j) that tile an interval, at most two of each j. Empty intervals and nulls go."""
+    a, b, side = F.col(start), F.col(end), F.col("_k").bitwiseAND(F.lit(1))
+    cut = table.where(b > a).withColumn("_k", F.explode(F.sequence(F.lit(0), 2 * reach(b - a) + 1))).withColumn("_j", down(F.col("_k"), F.lit(1)))
+    first, last = -down(-a, F.col("_j")), down(b, F.col("_j"))
+    odd = F.when(side == 0, first).otherwise(last).bitwiseAND(F.lit(1).cast("long")) == 1
+    return cut.where((first < last) & odd).withColumn("_i", F.when(side == 0, first).otherwise(last - 1)).drop("_k")

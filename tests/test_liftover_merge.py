@@ -75,6 +75,34 @@ def test_lift_by_hand(spark):
     assert {r["map_status"] for r in got} == {"mapped", "ambiguous", "unmapped"}
 
 
+def joined_rows(df):
+    """Rows that the joins of a plan put out when it runs."""
+    df._jdf.queryExecution().toRdd().count()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        below = node.children()
+        rows = node.metrics().get("numOutputRows") if "Join" in kind else None
+        return sum(walk(below.apply(i)) for i in range(below.size())) + (rows.get().value() if rows is not None and rows.isDefined() else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_lift_makes_no_pairs(spark):
+    """400 blocks over 200 points: 80000 pairs, of which none but the winners' may be joined."""
+    blocks = [(k, k % 90, "c", 0, 200 + k % 3, f"r{k % 2}", 5 * k, 5 * k + 200 + k % 3, "+-"[k % 2], k) for k in range(400)] + [(900, None, "c", 0, 300, "r9", 0, 300, "+", 900)]
+    points = [("c", p) for p in range(200)]
+    lifted = lift_points(spark.createDataFrame(points, "contig string, pos long"), spark.createDataFrame(blocks, CHAIN_BLOCKS))
+    assert joined_rows(lifted) < 5000
+    for r in lifted.collect():
+        want = lift_by_hand(blocks[:400], "c", r["pos"], 10)
+        assert (r["ref_contig"], r["ref_pos"], r["flipped"], r["map_status"]) == want
+
+
 def rep(spark, rows, extra="", tail=()):
     full = [(c, s, st, "GUIDE", t, mm, 0, 0, "X", mm, None, None, None, None, *tail_) for (c, s, st, t, mm), tail_ in rows]
     return spark.createDataFrame(full, report_schema() + extra)
