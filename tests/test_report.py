@@ -186,6 +186,25 @@ def test_overlaps_by_brute_force(spark):
     assert len(points) == len(set(points)) and set(points) == {(i, j) for i, pc, a, _ in probes for j, tc, c, d in feats if pc == tc and c <= a < d}
 
 
+def test_annotation_by_brute_force(spark, monkeypatch):
+    """Terms of features of any length, over bins, with nulls and empty ones; no target is joined."""
+    from loomseq.operators import annotate as module
+
+    monkeypatch.setattr(module, "BIN_BITS", 6)
+    rng = np.random.default_rng(3)
+    rows = [(f"c{i % 3}", int(a) + 1, "A" * int(n)) for i, (a, n) in enumerate(zip(rng.integers(0, 2000, 150), rng.integers(0, 30, 150), strict=True))] + [(None, 5, "AA"), ("c0", None, "AA"), ("c0", 5, None)]
+    feats = [(f"c{j % 2}", int(a), int(a + n), f"t{j % 4}", j) for j, (a, n) in enumerate(zip(rng.integers(0, 2000, 60), [*rng.integers(0, 40, 50), *rng.integers(200, 900, 10)], strict=True))] + [(None, 0, 9999, "t0", 99), ("c0", None, 9999, "t1", 99)]
+    found = module.annotate(spark.createDataFrame(rows, "chromosome string, start long, target_aligned string"), spark.createDataFrame(feats, "chrom string, bed_start long, bed_end long, term string, at int"), "x", 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def want(c, start, text):
+        if None in (c, start, text) or not text:
+            return None
+        return ",".join(sorted({t for k, a, z, t, _ in feats if k == c and a is not None and z > a and a < start - 1 + len(text) and z > start - 1})) or None
+
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(((*r, want(*r)) for r in rows), key=repr)
+
+
 def test_bed(spark, tmp_path):
     path = tmp_path / "a.bed"
     path.write_bytes(b"# comment\n\nchr1\t99\t110\tCTCF\r\nchr1\t105\t120\tpromoter\nchr1\t95\t101\tCTCF\nchr2\t0\t500\tlong term\n")
