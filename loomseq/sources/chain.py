@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from loomseq.schemas import CHAIN_BLOCKS
 
 
-def parse_chain(text: str) -> Iterator[tuple]:
-    """Rows of CHAIN_BLOCKS. Blocks of a reverse query are given on its forward strand. Wrong headers, data outside a chain, and blocks that don't fill the header's spans are errors with the line."""
+def parse_chain(text: str | Iterable[str]) -> Iterator[tuple]:
+    """Rows of CHAIN_BLOCKS from a file's text or its lines, which are read one by one. Blocks of a reverse query are given on its forward strand. Wrong headers, data outside a chain, and blocks that don't fill the header's spans are errors with the line."""
     head, t, q, last, order = None, 0, 0, False, 0
 
     def wrong(n: int, what: str):
@@ -22,7 +23,7 @@ def parse_chain(text: str) -> Iterator[tuple]:
             raise wrong(n, "the blocks don't fill the header's spans")
 
     n = 0
-    for n, line in enumerate(text.splitlines(), 1):
+    for n, line in enumerate(text.splitlines() if isinstance(text, str) else text, 1):
         f = line.split()
         if not f or f[0].startswith("#"):
             continue
@@ -57,31 +58,35 @@ def parse_chain(text: str) -> Iterator[tuple]:
 
 
 def read_chain(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CHAIN_BLOCKS and ``file`` of chain files, plain or gzip; one task parses a file, as its coordinates run on from line to line."""
+    """CHAIN_BLOCKS and ``file`` of chain files, plain or gzip; one task parses a file, as its coordinates run on from line to line. Python gets the lines batch by batch and never a whole file."""
 
     def run(batches):
         import pyarrow as pa
 
         names = [c.split()[0] for c in CHAIN_BLOCKS.split(", ")]
         kinds = [pa.string() if c.endswith("string") else pa.int64() for c in CHAIN_BLOCKS.split(", ")]
-        for b in batches:
-            for k in range(b.num_rows):
-                rows: list[tuple] = []
-                file = b.column("file")[k]
-
-                def flush(rows, file=file):
-                    cols = list(zip(*rows, strict=True))
-                    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.repeat(file, len(rows))], names=[*names, "file"])
-
-                for row in parse_chain(b.column("value")[k].as_py()):
-                    rows.append(row)
-                    if len(rows) >= 100_000:
-                        yield flush(rows)
-                        rows = []
-                if rows:
-                    yield flush(rows)
-
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        def lines():
+            n = 0
+            for b in batches:
+                for at, value, file in zip(*(b.column(c).to_pylist() for c in ("at", "value", "file")), strict=True):
+                    n += at == 0
+                    yield n, file, value
+
+        def flush(rows, file):
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.repeat(file, len(rows))], names=[*names, "file"])
+
+        for (_, file), own in groupby(lines(), lambda x: x[:2]):
+            rows: list[tuple] = []
+            for row in parse_chain(line for x in own for line in x[2].splitlines() or [""]):
+                rows.append(row)
+                if len(rows) >= 10_000:
+                    yield flush(rows, file)
+                    rows = []
+            if rows:
+                yield flush(rows, file)
+
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value"), F.col("_metadata.file_path").alias("file"))
     return text.mapInArrow(run, CHAIN_BLOCKS + ", file string")
 
 

@@ -40,6 +40,22 @@ def test_chain_order(spark, tmp_path):
     assert [r["score"] for r in got] == [999, 10]
 
 
+def test_chain_by_lines(spark, tmp_path):
+    """Lines are read one by one, and files are told apart whatever batches their lines come in."""
+    endless = iter(["chain 1 T 99 + 0 99 Q 99 + 0 99 1", "1 1 1", "1 1 1"])
+    assert next(parse_chain(endless))[3:5] == (0, 1) and next(endless) == "1 1 1"
+    texts = [CHAIN.format("+") * 3, "", CHAIN.format("-").replace("\n", "\r\n") + "\n# end"]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.chain").write_text(text, newline="")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = read_chain(spark, str(tmp_path)).drop("file").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == sorted(r for text in texts for r in parse_chain(text))
+
+
 def test_blocks_from_steps(spark):
     for strand in "+-":
         chains = spark.createDataFrame([(1, 100, "T", 0, "Q", 30, 0, strand, 0)], "chain_id long, score long, t_name string, t_start long, q_name string, q_size long, q_start long, q_strand string, file_order long")
