@@ -12,55 +12,67 @@ from loomseq.operators.stored import stored
 
 #: Positions in one task's share of a key.
 BIN = 1 << 20
+#: Rows in one task's share of all bins, where rows are counted.
+SHARE = 1 << 18
 
 
-def single_linkage(rows: DataFrame, keys: list[str], position: str, gap: int, bin_width: int = BIN, unique: bool = False, kind: str | None = None) -> DataFrame:
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks that take SHARE of ``rows`` each, as many as there are cores at least. Rows are counted, so they should be stored ones."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SHARE))
+
+
+def single_linkage(rows: DataFrame, keys: list[str], position: str, gap: int, bin_width: int = BIN, unique: bool = False, kind: str | None = None, tasks: int | None = None) -> DataFrame:
     """``rows`` with ``cluster_start`` (the cluster's first position) and ``cluster_no`` (from 0 within the keys).
 
     Sorted by position, a row joins the cluster of the one before if it is at most ``gap`` away. Only distinct
     positions are sorted, in bins of ``bin_width``, so neither a long contig nor a crowded place makes one task's work;
-    what a bin needs from those before it, its last position and number of clusters, comes from one row per bin.
+    what a bin needs from those before it, whether its first cluster goes on from there, where that began and the
+    number of clusters so far, comes from one row per bin. Bins are dealt out and sorted by the columns that join them
+    with these rows, so the join neither moves nor sorts anything again.
     Keys may be null, which is a key like any other; a null position makes a cluster of its own with null start.
     ``unique``: the keys have each position (and ``kind``) once, so rows are sorted themselves and not joined back.
     ``kind``, for unique rows: a column by which equal positions are ordered, and whose every change also ends a
     cluster.
+    ``tasks``: tasks among which bins are dealt, as by ``tasks_for``; Spark's number, which doesn't grow with the
+    rows, if None.
     """
     if kind and not unique:
         raise ValueError("kinds need unique rows")
-    ks = [f"_k{i}" for i in range(len(keys))]
-    own = [F.col(k).alias(x) for k, x in zip(keys, ks, strict=True)]
-    at = [F.col(position).cast("long").alias("_p"), (F.col(kind) if kind else F.lit(0)).alias("_a")]
-    places = rows.where(F.col(position).isNotNull()).select(*([c for c in rows.columns] if unique else []), *own, *at)
+    whole = {c: t for c, t in rows.dtypes if c == position and t in ("tinyint", "smallint", "int", "bigint")}
+    own = {k: F.col(f"_k._{i}") for i, k in enumerate(keys)} | {c: F.col("_p").cast(t) for c, t in whole.items()}  # told by the columns below, so not carried twice
+    rest = [c for c in rows.columns if c not in own] if unique else []
+    at = [F.struct(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.lit(0).alias("_")).alias("_k"), F.col(position).cast("long").alias("_p"), (F.col(kind) if kind else F.lit(0)).alias("_a")]
+    places = rows.where(F.col(position).isNotNull()).select(*rest, *at)
     places = (places if unique else places.distinct()).withColumn("_b", F.floor(F.col("_p") / bin_width))
+    bin_ = ["_h", "_k", "_b"]
+    places = places.withColumn("_h", F.xxhash64("_k", "_b"))  # first in the order, as numbers sort faster than structs
+    places = places.repartition(tasks, *bin_) if tasks else places
     here = F.struct("_p", "_a")
-    bins = places.groupBy(*ks, "_b").agg(F.max(here).alias("_max"))
-    before = Window.partitionBy(*ks).orderBy("_b")
-    last = bins.select(*ks, "_b", F.lag("_max").over(before).alias("_last"))
-
-    def match(a: str, b: str, cols: list[str]) -> Column:
-        out = F.col(f"{a}._b") == F.col(f"{b}._b")
-        for c in cols:
-            out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-        return out
-
-    placed = places.alias("x").join(last.alias("y"), match("x", "y", ks)).select("x.*", "y._last")
-    within = Window.partitionBy(*ks, "_b").orderBy("_p", "_a")
+
+    def fresh(at: Column, prev: Column) -> Column:
+        return F.when(prev.isNull() | (at["_p"] - prev["_p"] > gap) | (prev["_a"] != at["_a"]), 1).otherwise(0)
+
+    within = Window.partitionBy(*bin_).orderBy("_p", "_a")
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.coalesce(F.lag(here).over(within), F.col("_last"))
-    begun = placed.withColumn("_prev", prev).withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_p") - F.col("_prev._p") > gap) | (F.col("_prev._a") != F.col("_a")), 1).otherwise(0))
+    begun = places.withColumn("_new", fresh(here, F.lag(here).over(within)))
     local = begun.withColumn("_n", F.sum("_new").over(upto)).withColumn("_s", F.max(F.when(F.col("_new") == 1, F.col("_p"))).over(upto))
-    sums = local.groupBy(*ks, "_b").agg(F.max("_n").alias("_total"), F.max("_s").alias("_open"))
+    bins = local.groupBy(*bin_).agg(F.min(here).alias("_min"), F.max(here).alias("_max"), F.max("_n").alias("_total"), F.max("_s").alias("_open"))
+    before = Window.partitionBy("_k").orderBy("_b")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*ks, "_b", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"), F.max("_open").over(earlier).alias("_carry"))
-    joined = local.alias("x").join(carried.alias("y"), match("x", "y", ks))
-    found = [F.coalesce("x._s", "y._carry").alias("cluster_start"), (F.col("x._n") + F.col("y._offset") - 1).cast("long").alias("cluster_no")]
+    bins = bins.withColumn("_on", 1 - fresh(F.col("_min"), F.lag("_max").over(before)))
+    carried = bins.select(
+        *bin_, "_on", F.coalesce(F.sum(F.col("_total") - F.col("_on")).over(earlier), F.lit(0)).alias("_offset"), F.max(F.when(F.col("_total") > F.col("_on"), F.col("_open"))).over(earlier).alias("_carry")
+    )
+    joined = local.join(carried, bin_, "left")  # every bin has its row; an inner join would filter nulls first and so not share the exchange
+    number = F.col("_n") - F.col("_on")  # 0 in the cluster that goes on from the bins before
+    found = [F.when(number == 0, F.col("_carry")).otherwise(F.col("_s")).alias("cluster_start"), (number + F.col("_offset") - 1).cast("long").alias("cluster_no")]
     if unique:
         none = rows.where(F.col(position).isNull()).select("*", F.lit(None).cast("long").alias("cluster_start"), F.lit(None).cast("long").alias("cluster_no"))
-        return joined.select(*[F.col(f"x.`{c}`").alias(c) for c in rows.columns], *found).unionByName(none)
-    numbered = joined.select(*[F.col(f"x.{k}").alias(k) for k in ks], F.col("x._p").alias("_p"), *found)
+        return joined.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in rows.columns], *found).unionByName(none)
+    numbered = joined.select("_k", "_p", *found)
     on = F.col(position).cast("long") == F.col("_p")
-    for k, name in zip(ks, keys, strict=True):
-        on = on & F.col(name).eqNullSafe(F.col(k))
+    for i, name in enumerate(keys):
+        on = on & F.col(name).eqNullSafe(F.col(f"_k._{i}"))
     return rows.join(numbered, on, "left").select(*rows.columns, "cluster_start", "cluster_no")
 
 
@@ -117,7 +129,8 @@ def partition_report(report: DataFrame, distance: int = 3, criteria: list[str] |
     if distance <= 0:
         raise ValueError("the cluster distance has to be above 0")
     columns = report.columns
-    clustered = single_linkage(stored(report, "report"), ["chromosome", "strand"], "start", distance)
+    report = stored(report, "report")
+    clustered = single_linkage(report, ["chromosome", "strand"], "start", distance, tasks=tasks_for(report))
     primary, alternative = split_primary(clustered, ["chromosome", "strand", "cluster_start"], ranking(criteria))
     return primary.select(*columns), alternative.select(*columns)
 
@@ -129,7 +142,8 @@ def sort_report(report: DataFrame) -> DataFrame:
 
 def partition_statistics(report: DataFrame, distance: int = 3) -> DataFrame:
     """One row: ``clusters, primary, alternative``."""
-    clustered = single_linkage(stored(report, "report"), ["chromosome", "strand"], "start", distance)
+    report = stored(report, "report")
+    clustered = single_linkage(report, ["chromosome", "strand"], "start", distance, tasks=tasks_for(report))
     per = clustered.groupBy("chromosome", "strand", "cluster_start").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("clusters"), F.count(F.lit(1)).alias("primary"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("alternative"))
 

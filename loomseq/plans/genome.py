@@ -13,7 +13,7 @@ from loomseq.functions.alphabet import mutation_score, n_count, pam_variants_tab
 from loomseq.functions.cfd import PAM_WEIGHTS, WEIGHTS_BY_RULE
 from loomseq.operators.align import Thresholds, align, hamming
 from loomseq.operators.annotate import annotate
-from loomseq.operators.cluster import partition_report, single_linkage
+from loomseq.operators.cluster import partition_report, single_linkage, tasks_for
 from loomseq.operators.liftover import lift_points
 from loomseq.operators.merge import merge_assemblies, sample_table
 from loomseq.operators.report import rendered
@@ -131,8 +131,10 @@ def pam_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = single_linkage(stored(_windows(spark, sf_dir).select("contig", "strand", "pos"), "windows"), ["contig", "strand"], "pos", 3, unique=True)  # a strand has one window at a position
-    return clustered.groupBy("contig", "strand", "cluster_start", "cluster_no").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("cluster_end"))
+    windows = stored(_windows(spark, sf_dir).select("contig", "strand", "pos"), "windows")
+    tasks = tasks_for(windows)
+    clustered = single_linkage(windows, ["contig", "strand"], "pos", 3, unique=True, tasks=tasks)  # a strand has one window at a position
+    return clustered.repartition(tasks, "contig", "strand", "cluster_start").groupBy("contig", "strand", "cluster_start", "cluster_no").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("cluster_end"))
 
 
 def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ from loomseq.functions.cfd import PAM_WEIGHTS, WEIGHTS_BY_RULE, cfd, parse_weigh
 from loomseq.functions.alphabet import reverse_complement_text
 from loomseq.operators.align import Thresholds
 from loomseq.operators.annotate import annotate, annotate_all, fetch_lines
+from loomseq.operators import cluster
 from loomseq.operators.cluster import parse_criteria, partition_report, partition_statistics, single_linkage
 from loomseq.operators.intervals import overlap_join, point_join
 from loomseq.operators.report import read_report, rendered, write_report
+from loomseq.plans.genome import cluster_windows, pam_scan
 from loomseq.schemas import REPORT, report_schema
 from loomseq.search import search, search_reference
 from loomseq.sources.bed import read_bed, read_gff, terms
@@ -88,6 +90,32 @@ def test_linkage_of_unique_rows_and_kinds(spark, width):
         single_linkage(frame, ["k"], "p", 3, kind="a")
 
 
+@pytest.mark.parametrize("width", [1, 8, 1 << 20])
+def test_linkage_in_tasks(spark, width):
+    rng = np.random.default_rng(width)
+    rows = sorted({(int(p), k, n) for k, n in (("a", 1), (None, 1), ("a", None), (None, None)) for p in rng.integers(-200, 200, 90)}, key=repr)
+    frame = spark.createDataFrame([(f"x{i}", *r) for i, r in enumerate(rows)] + [("none", None, "a", 1)], "extra string, p int, k string, n long")
+    got = single_linkage(frame, ["k", "n"], "p", 3, width, unique=True, tasks=5)
+    assert got.dtypes == [*frame.dtypes, ("cluster_start", "bigint"), ("cluster_no", "bigint")]
+    found = {r["extra"]: tuple(r)[1:] for r in got.collect()}
+    want, last = {"none": (None, "a", 1, None, None)}, {}
+    for i, (p, k, n) in sorted(enumerate(rows), key=lambda x: x[1][0]):
+        at, start, no = last.get((k, n), (None, None, -1))
+        start, no = (start, no) if at is not None and p - at <= 3 else (p, no + 1)
+        last[k, n], want[f"x{i}"] = (p, start, no), (p, k, n, start, no)
+    assert found == want
+    again = single_linkage(frame, ["k", "n"], "p", 3, width, tasks=5)
+    assert {r["extra"]: tuple(r)[1:] for r in again.collect()} == want
+
+
+def test_tasks_of_clusters_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SHARE", 500, raising=False)
+    got = cluster_windows(spark, "/root/testdata/sf0.001")
+    windows = pam_scan(spark, "/root/testdata/sf0.001").count()
+    most = got.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    assert windows > 20 * 500 and most < 4 * 500
+
+
 def test_repeated_rows_and_criteria(spark):
     twice = frame(spark, FIXTURE + FIXTURE[:2])
     primary, alternative = partition_report(twice)
