@@ -139,8 +139,9 @@ def cluster_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = _t(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    clustered = single_linkage(micros, ["user_id"], "at", 600_000_000, 1 << 42)
-    return clustered.groupBy("user_id", "cluster_start").agg(F.max("at").alias("cluster_end"), F.count(F.lit(1)).alias("n"))
+    tasks = tasks_for(micros)
+    clustered = single_linkage(micros.groupBy("user_id", "at").agg(F.count(F.lit(1)).alias("n")), ["user_id"], "at", 600_000_000, 1 << 42, unique=True, tasks=tasks)
+    return clustered.repartition(tasks, "user_id", "cluster_start").groupBy("user_id", "cluster_start").agg(F.max("at").alias("cluster_end"), F.sum("n").alias("n"))
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

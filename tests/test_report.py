@@ -12,7 +12,7 @@ from loomseq.operators import cluster
 from loomseq.operators.cluster import parse_criteria, partition_report, partition_statistics, single_linkage
 from loomseq.operators.intervals import overlap_join, point_join
 from loomseq.operators.report import read_report, rendered, write_report
-from loomseq.plans.genome import cluster_windows, pam_scan
+from loomseq.plans.genome import cluster_windows, event_clusters, pam_scan
 from loomseq.schemas import REPORT, report_schema
 from loomseq.search import search, search_reference
 from loomseq.sources.bed import read_bed, read_gff, terms
@@ -116,6 +116,19 @@ def test_tasks_of_clusters_grow_with_rows(spark, monkeypatch):
     assert windows > 20 * 500 and most < 4 * 500
 
 
+def test_events_of_one_instant(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(cluster, "SHARE", 100, raising=False)
+    minute = 60
+    rows = [(None, 0), (None, None), (1, None), (1, None), (1, 0), (1, 0), (1, 10 * minute), (1, 21 * minute), *[(u, u * 11 * minute + i % 2) for u in range(2, 502) for i in range(4)]]
+    spark.createDataFrame(rows, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = event_clusters(spark, str(tmp_path))
+    most = got.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    m = 1_000_000
+    want = {(None, 0, 0, 1), (None, None, None, 1), (1, None, None, 2), (1, 0, 600 * m, 3), (1, 1260 * m, 1260 * m, 1)} | {(u, u * 660 * m, (u * 660 + 1) * m, 4) for u in range(2, 502)}
+    found = [tuple(r) for r in got.select("user_id", "cluster_start", "cluster_end", "n").collect()]
+    assert len(found) == len(want) and set(found) == want and most <= 200
+
+
 def test_repeated_rows_and_criteria(spark):
     twice = frame(spark, FIXTURE + FIXTURE[:2])
     primary, alternative = partition_report(twice)
